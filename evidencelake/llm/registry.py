@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import decontaminate, ring
+from evidencelake.llm import decontaminate, packing, ring, tokenscan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenscan.count_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.assign(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -23,6 +31,8 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_token_counts": op5_token_counts,
+    "op6_pack": op6_pack,
     "op8_ring_shards": op8_ring_shards,
 }
 
