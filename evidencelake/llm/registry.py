@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import decontaminate, packing, ring, tokenscan
+from evidencelake.llm import ann, chat, decontaminate, packing, ring, tokenscan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_rotate_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenscan.count_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
@@ -29,11 +33,17 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_rotate_chat": op4_rotate_chat,
     "op5_token_counts": op5_token_counts,
     "op6_pack": op6_pack,
     "op8_ring_shards": op8_ring_shards,
+    "op10_kmeans_tree": op10_kmeans_tree,
 }
 
 ORACLE = {
@@ -58,4 +68,19 @@ items AS (
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_rotate_chat": """
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),
+r AS (
+  SELECT t.*, perspective, CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS seat
+  FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+s AS (SELECT *, CASE WHEN seat = 'user' THEN role END AS name FROM r),
+h AS (SELECT *, '<|im_start|>' || seat || coalesce(' name=' || name, '') || chr(10) AS head FROM s),
+g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (
+  SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS LAST, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g)
+SELECT conv_id, perspective, turn, seat, name, segment, start, start + length(segment) AS stop,
+  CASE WHEN seat = 'assistant' THEN start + length(head) ELSE start + length(segment) END AS train_start, start + length(segment) AS train_stop
+FROM o""",
 }
