@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import ann, chat, decontaminate, packing, ring, tokenscan
+from evidencelake.llm import ann, chat, decontaminate, packing, pages, quality, ring, tokenscan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.predictions(quality.score(docs, model))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -28,6 +34,11 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring.assign(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,10 +49,12 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_votes": op1_quality_votes,
     "op2_decontaminate": op2_decontaminate,
     "op4_rotate_chat": op4_rotate_chat,
     "op5_token_counts": op5_token_counts,
     "op6_pack": op6_pack,
+    "op7_template_slots": op7_template_slots,
     "op8_ring_shards": op8_ring_shards,
     "op10_kmeans_tree": op10_kmeans_tree,
 }
