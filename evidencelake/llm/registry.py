@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import ann, chat, decontaminate, packing, pages, quality, ring, tokenscan
+from evidencelake.llm import ann, chat, decontaminate, packing, pages, quality, ring, substring, tokenscan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(substring.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op7_template_slots": op7_template_slots,
     "op8_ring_shards": op8_ring_shards,
+    "op9_suffix_trees": op9_suffix_trees,
     "op10_kmeans_tree": op10_kmeans_tree,
 }
 
@@ -96,4 +101,18 @@ o AS (
 SELECT conv_id, perspective, turn, seat, name, segment, start, start + length(segment) AS stop,
   CASE WHEN seat = 'assistant' THEN start + length(head) ELSE start + length(segment) END AS train_start, start + length(segment) AS train_stop
 FROM o""",
+    "op9_suffix_trees": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p + 1:p + 20], ' ')) AS win
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(0, len(ws) - 19))) AS p FROM d)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS rn FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM f WHERE rn > 1),
+kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM d) AS x
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = x.doc_id AND gone.p = x.p)
+  GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
