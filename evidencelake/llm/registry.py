@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import ann, chat, decontaminate, packing, pages, quality, ring, substring, tokenscan
+from evidencelake.llm import ann, chat, decontaminate, neardup, packing, pages, quality, ring, substring, tokenscan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_rotate_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -55,6 +59,7 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_votes": op1_quality_votes,
     "op2_decontaminate": op2_decontaminate,
+    "op3_lsh_forest": op3_lsh_forest,
     "op4_rotate_chat": op4_rotate_chat,
     "op5_token_counts": op5_token_counts,
     "op6_pack": op6_pack,
@@ -115,4 +120,19 @@ kept AS (
   GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op3_lsh_forest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[p + 1:p + 5], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - 4))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT reach.doc_id, link.b AS c FROM reach JOIN link ON link.a = reach.c)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1) USING (doc_id)""",
 }
