@@ -135,18 +135,24 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def occurrences(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window=WINDOW, max_block_bytes=MAX_BLOCK_BYTES) -> DataFrame:
-    """Per document row: ``n_words``, the merged word ``spans`` that any benchmark window covers, and the ``item_ids``."""
-    spark = docs.sparkSession
-    docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    items = pick(items, item_id=item_col, text=item_text).select(F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull()).distinct()
+def _indexes(items: DataFrame, window: int, max_block_bytes: int) -> list:
+    """Broadcast indexes of the benchmark, each of at most ``max_block_bytes`` of text (or one item)."""
+    spark = items.sparkSession
+    items = items.select(F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // max_block_bytes))
-    scans = []
+    out = []
     for i in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
-        index = build_index([(r.item_id, r.text) for r in part.toLocalIterator()], window)
-        scans.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(index)), SCAN))
+        out.append(spark.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in part.toLocalIterator()], window)))
+    return out
+
+
+def occurrences(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window=WINDOW, max_block_bytes=MAX_BLOCK_BYTES) -> DataFrame:
+    """Per document row: ``n_words``, the merged word ``spans`` that any benchmark window covers, and the ``item_ids``."""
+    docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    scans = [docs.mapInArrow(_scan(index), SCAN) for index in _indexes(pick(items, item_id=item_col, text=item_text), window, max_block_bytes)]
+    blocks = len(scans)
     if blocks == 1:
         return scans[0]
     every = scans[0]
@@ -180,13 +186,30 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def remove_documents(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **how) -> DataFrame:
-    """``docs`` with all its columns, without the rows that hold a benchmark window."""
-    hits = occurrences(docs, items, id_col=id_col, text_col=text_col, **how)
-    bad = hits.filter(F.size("spans") > 0).select("doc_id", "text_key").distinct()
-    keyed = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    i, t = (f"_c{docs.columns.index(x)}" for x in (id_col, text_col))
-    kept = keyed.join(bad, F.col(i).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(t) == F.col("text_key")), "left_anti")
+def _clean_only(index, text):
+    def run(batches):
+        held = index.value
+        get = held["vocab"].get
+        for b in slices(batches, text):
+            rows = [[get(w, 0) for w in words(t)] for t in b.column(text).to_pylist()]
+            counts = np.array([len(r) for r in rows], np.int64)
+            ids = np.fromiter((x for r in rows for x in r), np.int32, int(counts.sum()))
+            ends = np.repeat(np.arange(len(rows)), counts)
+            clean = np.ones(len(rows), bool)
+            with np.errstate(over="ignore"):
+                for _, at, _, _ in _matches(ids, ends, held):
+                    clean[ends[at]] = False
+            yield b.filter(pa.array(clean))
+
+    return run
+
+
+def remove_documents(docs: DataFrame, items: DataFrame, *, text_col="text", item_col="item_id", item_text="text", window=WINDOW, max_block_bytes=MAX_BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all its columns, without the rows that hold a benchmark window; one filter for each block of the benchmark."""
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    kept = flat
+    for index in _indexes(pick(items, item_id=item_col, text=item_text), window, max_block_bytes):
+        kept = kept.mapInArrow(_clean_only(index, f"_c{docs.columns.index(text_col)}"), flat.schema)
     return kept.toDF(*docs.columns)
 
 

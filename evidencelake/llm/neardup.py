@@ -370,6 +370,13 @@ def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
+def keep(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
+    """``docs`` with all its columns, with one document (the smallest id) of each group; rows of one id stay together."""
+    gone = groups(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    return flat.join(gone, F.col(f"_c{docs.columns.index(id_col)}").cast("long") == F.col("_gone"), "left_anti").toDF(*docs.columns)
+
+
 def _dense(member: DataFrame, labels: DataFrame, window: int) -> DataFrame:
     """Rows of regions that hold several groups and more nodes than the window compares."""
     m = _label(member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})")), labels, "node", "component")

@@ -395,5 +395,20 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     return texts.groupBy("shelf").cogroup(gone.groupBy("grp")).applyInArrow(_cut(window), RESULT)
 
 
+def clean(docs: DataFrame, *, id_col="doc_id", text_col="text", chars_col: str | None = None, **how) -> DataFrame:
+    """``docs`` with all its columns, without repeated passages in the text; ``chars_col`` gets the new length."""
+    cut = remove_repeats(docs, id_col=id_col, text_col=text_col, **how).filter("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("kept").alias("_kept")).dropDuplicates(["_d", "_k"])
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    at = {c: f"_c{docs.columns.index(c)}" for c in (id_col, text_col, chars_col) if c}
+    key = (F.coalesce(F.col(at[id_col]).cast("long"), F.lit(_NULL_ID)) == F.col("_d")) & (F.xxhash64(at[text_col]) == F.col("_k"))
+    out = flat.join(cut, key, "left")
+    new = {at[text_col]: F.coalesce("_kept", at[text_col])}
+    if chars_col:
+        was = flat.schema[at[chars_col]].dataType
+        new[at[chars_col]] = F.when(F.col("_kept").isNull(), F.col(at[chars_col])).otherwise(F.length("_kept").cast(was))
+    return out.withColumns(new).select(*flat.columns).toDF(*docs.columns)
+
+
 def report(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
