@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import materialise, pick, slices
-from evidencelake.llm.tokens import WordIds
+from evidencelake.llm.tokens import word_ids
 
-CAPACITY, NODES, GROUP = 2048, 60_000, 50_000
+CAPACITY, NODES, GROUP = 2048, 60_000, 2048
 END = b"\0\0\0\0"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,7 +40,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(path, capacity, with_ids):
     def run(batches):
-        ids = WordIds(path)
+        ids = word_ids(path)
         for b in slices(batches):
             docs = b.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], [], []]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import materialise, pick, slices
-from evidencelake.llm.tokens import WordIds
+from evidencelake.llm.tokens import word_ids
 
 SEPARATOR = 49407
 BLOCK, SUPER = 65_536, 1024
@@ -37,7 +37,7 @@ SUMMARY = "file string, block long, n long, ended long, first_at long, last_at l
 def _stream(path, separator, block):
     def run(batches):
         file = f"part-{TaskContext.get().partitionId():05d}"
-        ids, end, step = WordIds(path), separator.to_bytes(4, "little"), 4 * block
+        ids, end, step = word_ids(path), separator.to_bytes(4, "little"), 4 * block
         held, sent, docs = b"", 0, 0
 
         def rows(parts, first, doc_ids, ordinal):
