@@ -9,16 +9,18 @@ side in sorted order, those of the longest common prefix, are candidates, so how
 deep a prefix they share adapts to how dense the region is. Two nodes at the
 threshold of 0.75 miss all regions with probability (1 - 0.75^3)^20 = 2e-5.
 
-A region in which more than the window's nodes of several groups remain apart is
-compared in full afterwards, in blocks spread over tasks and only between groups,
-so the window is no cap.
-
-Candidates are confirmed in rounds: each group tries its most promising links,
-groups that meet are merged (``graph.components``), and links within a group need
-no check any more. A group of thousands of copies so takes about one check a
-node. Signatures only choose what is checked (those that agree in fewer than
-``AGREE`` of the values cannot be at the threshold but with odds of 1e-5); a link
-counts if ``100 * |intersection| >= 75 * |union|`` of the full sets.
+Candidates are confirmed in rounds: each group tries its most promising link,
+and groups that meet are merged (``graph.components``). After ``ROUNDS`` rounds
+few groups are left of a cluster of thousands of copies. What remains is settled
+exactly, so the window is no cap: in every region that still holds several
+groups, all pairs between groups are looked at, in blocks of ``BLOCK`` nodes
+spread over tasks. A pair is looked at in the first tree where it shares a
+region; those that agree in ``AGREE`` values or more are compared on full sets
+in place, and only links found are sent on.
+
+Signatures only choose what is compared (two documents at the threshold agree in
+fewer than ``AGREE`` values with odds of 1e-5); a link counts if
+``100 * |intersection| >= 75 * |union|`` of the full sets.
 
 Sorted orders are range-partitioned, which splits regions of any size;
 neighbours across a partition's edge are found from the edge rows.
@@ -46,7 +48,7 @@ SHINGLE, TREES, DEPTH, WINDOW = 5, 20, 3, 4
 VALUES = TREES * DEPTH
 AGREE = 30
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK = 1024
+BLOCK, ROUNDS = 1024, 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
@@ -282,23 +284,88 @@ def _check(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """All pairs between groups of two blocks of a region (or of one with itself), by signature."""
-    side = np.array(table.column("side").to_pylist())
-    v = _values(table.column("ord").to_pylist())
-    node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
-    i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out = []
-    for x in i:
-        y = j[(comp[j] != comp[x]) & _fits(n[j], n[x])]
-        if (side == 2).any():
-            y = y[node[y] > node[x]]
-        if len(y):
-            agree = (v[y] == v[x]).sum(1)
-            y, agree = y[agree >= AGREE], agree[agree >= AGREE]
-            out.append((np.full(len(y), node[x]), node[y], agree))
-    a, b, g = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "agree": pa.array(g, pa.int32())})
+def _suspects(v, tree, comp, n, i, j):
+    """Of pairs (i, j) in a region of ``tree``: those between groups that may be linked and share no earlier region; and how far they agree."""
+    ok = (comp[i] != comp[j]) & _fits(n[i], n[j])
+    i, j = i[ok], j[ok]
+    out = [], [], []
+    for lo in range(0, len(i), 100_000):
+        x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+        same = v[x] == v[y]
+        agree = same.sum(1)
+        shared = same.reshape(-1, TREES, DEPTH).all(2)  # of trees tree, tree + 1, ... round to tree - 1
+        order = (np.arange(TREES)[None] + tree[x][:, None]) % TREES
+        ok = (agree >= AGREE) & (np.where(shared, order, TREES).min(1) == tree[x])
+        for o, a in zip(out, (x, y, agree), strict=True):
+            o.append(a[ok])
+    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
+
+
+def _pairs_of(keys: np.ndarray, side: np.ndarray):
+    """Index pairs within each run of equal keys: all of a block with itself (side 2), or one side with the other."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    ends = np.append(starts[1:], len(keys))
+    size = ends - starts
+    small = np.repeat(size <= 64, size) & (side == 2)
+    for d in range(1, int(min(64, size.max()))):
+        i = np.flatnonzero(small[:-d] & small[d:] & (keys[d:] == keys[:-d]))
+        if len(i):
+            yield i, i + d
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        if side[lo] == 2 and hi - lo <= 64:
+            continue
+        left, right = np.arange(lo, hi)[side[lo:hi] != 1], np.arange(lo, hi)[side[lo:hi] != 0]
+        for at in range(0, len(left), 128):
+            i, j = np.meshgrid(left[at : at + 128], right, indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            ok = (i < j) | (side[lo] != 2)
+            yield i[ok], j[ok]
+
+
+def _spread(table: pa.Table):
+    """A bucket's rows by (region, blocks, side) with their arrays."""
+    t = table.sort_by([("region", "ascending"), ("x", "ascending"), ("y", "ascending"), ("side", "ascending"), ("node", "ascending")])
+    ords = t.column("ord").to_pylist()
+    names = np.array([f"{r.hex()}/{x}/{y}" for r, x, y in zip(t.column("region").to_pylist(), t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True)])
+    _, keys = np.unique(names, return_inverse=True)
+    tree = np.array([o[0] for o in ords], np.int64)
+    return t, keys, t.column("side").to_numpy(), _values(ords), tree, t.column("component").to_numpy(), t.column("n").to_numpy(), t.column("node").to_numpy()
+
+
+def _find_suspects(table: pa.Table) -> pa.Table:
+    """The rows that are in a pair worth comparing."""
+    t, keys, side, v, tree, comp, n, _ = _spread(table)
+    mark = np.zeros(len(keys), bool)
+    for i, j in _pairs_of(keys, side):
+        x, y, _ = _suspects(v, tree, comp, n, i, j)
+        mark[x] = mark[y] = True
+    return t.filter(pa.array(mark))
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between groups, on full sets; pairs whose groups a link of this bucket has joined need no check."""
+    t, keys, side, v, tree, comp, n, node = _spread(table)
+    texts = dict(zip(node.tolist(), t.column("text").to_pylist(), strict=True))
+    sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    a, b = [], []
+    for i, j in _pairs_of(keys, side):
+        x, y, agree = _suspects(v, tree, comp, n, i, j)
+        order = np.argsort(-agree, kind="stable")
+        for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            c, d = root(int(comp[p])), root(int(comp[q]))
+            if c != d and linked(sets[int(node[p])], sets[int(node[q])]):
+                up[max(c, d)] = min(c, d)
+                a.append(int(comp[p]))
+                b.append(int(comp[q]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _label(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
@@ -307,29 +374,46 @@ def _label(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(m, F.col(col) == F.col("_n"), "left").withColumn(out, F.coalesce("_c", col)).drop("_n", "_c")
 
 
-def _merge(candidates: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels after confirming candidates (a, b, agree) until none is left between groups."""
-    rest, tries = candidates, 1
-    while True:
+def _confirm(candidates: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after ``ROUNDS`` rounds in which each group tries its most promising candidate (a, b, agree)."""
+    rest = candidates
+    for _ in range(ROUNDS):
         cross = _label(_label(rest, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b", "agree", "ca", "cb")
         cross = materialise(cross, "cross")
-        left = cross.count()
-        if not left:
-            return labels
-        if left <= 20_000 or tries > 2:
-            chosen = cross
-        else:  # each group's most promising link
-            ends = cross.select(F.col("ca").alias("c"), "a", "b", "agree").unionByName(cross.select(F.col("cb").alias("c"), "a", "b", "agree"))
-            best = ends.groupBy("c").agg(F.max(F.struct("agree", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
-            chosen = best.select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b")).distinct()
+        ends = cross.select(F.col("ca").alias("c"), "a", "b", "agree").unionByName(cross.select(F.col("cb").alias("c"), "a", "b", "agree"))
+        best = ends.groupBy("c").agg(F.max(F.struct("agree", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("m"))
+        chosen = best.select((-F.col("m.x")).alias("a"), (-F.col("m.y")).alias("b")).distinct()
         ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        checked = materialise(chosen.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check, "a long, b long, ok boolean"), "checked")
-        found = components(_label(_label(checked.filter("ok"), labels, "a", "ca"), labels, "b", "cb"), "ca", "cb")
-        known = labels.select("node").unionByName(found.select("node")).distinct()
-        merged = _label(_label(known, labels, "node", "old"), found, "old", "component").select("node", "component")
-        labels = materialise(merged, "labels")
+        checked = materialise(chosen.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check, "a long, b long, ok boolean"), "checked")
+        labels = _joined(labels, _label(_label(checked.filter("ok"), labels, "a", "ca"), labels, "b", "cb"), "ca", "cb")
         rest = cross.select("a", "b", "agree").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        tries += 1
+    return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """Labels after merging the groups that ``links`` (of components) connect."""
+    found = components(links, a, b)
+    known = labels.select("node").unionByName(found.select("node")).distinct()
+    return materialise(_label(_label(known, labels, "node", "old"), found, "old", "component").select("node", "component"), "labels")
+
+
+def _settle(member: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after comparing, in every region with several groups, all pairs between them."""
+    m = _label(member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})")), labels, "node", "component")
+    r = m.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    d = m.join(r.select("region", "size"), "region").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    d = d.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    side = F.expr("case when block = other then 2 when block < other then 0 else 1 end")
+    d = materialise(d.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "ord", "node", "component", "n"), "mixed")
+    schema = "region binary, x long, y long, side int, ord binary, node long, component long, n long"
+    buckets = max(1, -(-d.count() // 20_000))
+    by = F.pmod(F.xxhash64("region", "x", "y"), F.lit(buckets))
+    # the two sides of a pair of blocks share (region, x, y), so they meet in one bucket
+    found = materialise(d.withColumn("bucket", by).groupBy("bucket").applyInArrow(lambda t: _find_suspects(t).drop_columns(["bucket"]), schema), "suspects")
+    size = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # shingles, about eight bytes of text each
+    by = F.pmod(F.xxhash64("region", "x", "y"), F.lit(max(1, -(-size // (2 << 20)))))
+    links = found.join(texts, "node").withColumn("bucket", by).groupBy("bucket").applyInArrow(_compare, "a long, b long")
+    return _joined(labels, links, "a", "b")
 
 
 def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW) -> DataFrame:
@@ -358,13 +442,13 @@ def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW)
         stitched = edges.repartition(1).sortWithinPartitions("part", "place").mapInArrow(_stitch(window), "a long, b long, agree int")
         pairs = near.filter(F.col("a").isNotNull()).select("a", "b", "agree").unionByName(stitched).groupBy("a", "b").agg(F.max("agree").alias("agree"))
         pairs = materialise(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        dense = _dense(member, labels, window).select("node").distinct()
-        ids = ids.unionByName(dense.select(F.col("node").alias("doc_id"))).distinct()
+        # texts that may be compared: of candidates, and of regions larger than the window
+        region = member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})"))
+        wide = region.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > window + 1)
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(region.join(wide, "region", "left_semi").select(F.col("node").alias("doc_id"))).distinct()
         texts = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
-        labels = _merge(pairs, texts, labels)
-        labels = _merge(_compare_dense(_dense(member, labels, window)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), texts, labels)
+        labels = _settle(member, texts, _confirm(pairs, texts, labels))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(sets.select("n_shingles", "fp1", "fp2", "node"), ["n_shingles", "fp1", "fp2"], "left")
     out = _label(out.withColumn("_at", F.coalesce("node", "doc_id")), labels, "_at", "component_id")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
@@ -375,18 +459,3 @@ def keep(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     gone = groups(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     return flat.join(gone, F.col(f"_c{docs.columns.index(id_col)}").cast("long") == F.col("_gone"), "left_anti").toDF(*docs.columns)
-
-
-def _dense(member: DataFrame, labels: DataFrame, window: int) -> DataFrame:
-    """Rows of regions that hold several groups and more nodes than the window compares."""
-    m = _label(member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})")), labels, "node", "component")
-    r = m.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter((F.col("size") > window + 1) & (F.col("lo") != F.col("hi")))
-    return m.join(r.select("region", "size"), "region")
-
-
-def _compare_dense(dense: DataFrame) -> DataFrame:
-    """Candidates between groups of each dense region: its nodes in blocks, each pair of blocks a task's work."""
-    d = dense.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    d = d.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    d = d.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("case when block = other then 2 when block < other then 0 else 1 end").alias("side"), "ord", "node", "component", "n")
-    return d.groupBy("region", "x", "y").applyInArrow(_blocks, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
