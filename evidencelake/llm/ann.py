@@ -10,12 +10,14 @@ opens the nearest, and lists the leaves it reaches in that order. How many
 leaves it visits is calibrated: sampled vectors are used as queries against
 brute force over the sample, and visits are doubled until ``recall`` is met.
 
-(query, leaf) and (vector, leaf) meet by a join on (leaf, salt): a leaf with
-more than ``GROUP`` vectors is cut into salted parts that go to separate tasks,
-as are the queries of a leaf that more than ``GROUP`` of them visit, and a part
-gives each query at most ``k`` rows. Equal vectors are first put
-together with their ``k + 1`` smallest ids, which is exact as ties go to the
-smaller id, so a vector that a third of all rows share is compared once.
+Leaves are dealt to buckets of about ``BUCKET`` vectors; a leaf with more than
+``GROUP`` vectors is cut into salted units that go to different buckets. A query
+is sent once to each bucket that holds units it visits, with their list; there,
+blocks of queries and of a unit's vectors are multiplied, and the bucket gives
+each query at most ``k`` rows. Very many queries are cut into blocks too. Equal
+vectors are first put together with their ``k + 1`` smallest ids, which is exact
+as ties go to the smaller id, so a vector that a third of all rows share is
+compared once.
 
 Defined results: vectors that are null, zero, of another width than the first
 sampled, or hold null or non-finite components take no part, nor do null ids;
@@ -29,14 +31,15 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import materialise, pick
 
-SAMPLE, BRANCH, LEAF, RECALL, GROUP = 20_000, 16, 64, 0.97, 2048
+SAMPLE, BRANCH, LEAF, RECALL, GROUP = 8192, 16, 64, 0.97, 2048
+BUCKET, QUERIES, SLACK = 16_384, 20_000, 8
+SALT_BITS = 24
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -161,41 +164,85 @@ def _index(tree):
     return run
 
 
-def _visits(tree, visits):
+def _bucket(unit: np.ndarray, buckets: int) -> np.ndarray:
+    x = unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(buckets):
     def run(batches):
-        t = tree.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = [t.visit(q, visits) for q in _rows(b.column("v"))]
-            rows = np.repeat(np.arange(b.num_rows), [len(x) for x in lists])
-            picked = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array([x for y in lists for x in y], pa.int64())], names=[*b.schema.names, "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(b.column("unit").to_numpy(), buckets)), *b.columns], names=["bucket", *b.schema.names])
+
+    return run
+
+
+def _visits(tree, visits, salts, buckets, blocks):
+    """Queries, once for each bucket that holds units they visit."""
+
+    def run(batches):
+        t, many = tree.value, salts.value
+        for b in batches:
+            rows, at, units = [], [], []
+            for i, q in enumerate(_rows(b.column("v")) if b.num_rows else ()):
+                mine = np.array([(leaf << SALT_BITS) + s for leaf in t.visit(q, visits) for s in range(many.get(leaf, 0))], np.int64)
+                where = _bucket(mine, buckets)
+                for k in np.unique(where):
+                    rows.append(i)
+                    at.append(int(k))
+                    units.append(mine[where == k])
+            if rows:
+                got = b.take(pa.array(rows))
+                block = got.column("query_id").to_numpy() % blocks
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(block), *got.columns, pa.array(units, pa.list_(pa.int64()))], names=["bucket", "block", "query_id", "v", "units"])
 
     return run
 
 
 def _compare(k):
-    """All queries of a (leaf, salt) against its vectors, in blocks; each query's k nearest ids."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x = np.stack(right["v"].to_numpy())
-            ids = right["ids"].to_list()
-            each = np.array([len(i) for i in ids])
-            owner = np.repeat(np.arange(len(ids)), each)
-            flat = np.concatenate([np.asarray(i, np.int64) for i in ids])
-            for q, v in zip(left["query_id"].to_numpy(), left["v"], strict=True):
-                d = np.sqrt(((x - np.asarray(v)) ** 2).sum(1))
-                near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-                mask = np.zeros(len(d), bool)
-                mask[near] = True
-                rows = np.flatnonzero(mask[owner])
-                rows = rows[flat[rows] != q]
-                rows = rows[np.lexsort((flat[rows], d[owner[rows]]))[:k]]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": flat[rows], "score": d[owner[rows]]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    """A bucket's queries against the units each visits; each query's k nearest ids by exact distance."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+        if not left.num_rows or not right.num_rows:
+            return pa.table(empty)
+        left, right = left.combine_chunks(), right.combine_chunks()
+        q, x = (_rows(t.column("v").combine_chunks()) for t in (left, right))
+        unit = right.column("unit").to_numpy()
+        ids = right.column("ids").to_pylist()
+        lists = left.column("units").to_pylist()
+        asks: dict[int, list[int]] = {}
+        for i, us in enumerate(lists):
+            for u in us:
+                asks.setdefault(u, []).append(i)
+        keep = k + SLACK
+        order = np.argsort(unit, kind="stable")
+        found: list[list] = [[] for _ in lists]
+        bounds = np.flatnonzero(np.diff(unit[order], prepend=-1))
+        for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
+            who = asks.get(int(unit[order[lo]]))
+            if not who:
+                continue
+            rows = order[lo:hi]
+            near = (x[rows] ** 2).sum(1)[None] - 2 * q[who] @ x[rows].T
+            best = np.argpartition(near, keep, axis=1)[:, :keep] if len(rows) > keep else np.broadcast_to(np.arange(len(rows)), near.shape)
+            for w, cols in zip(who, best, strict=True):
+                found[w].append(rows[cols])
+        qs = left.column("query_id").to_numpy()
+        out: tuple[list, list, list] = ([], [], [])
+        for i, parts in enumerate(found):
+            if not parts:
+                continue
+            rows = np.concatenate(parts)
+            d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
+            if len(rows) > keep:
+                near = np.argpartition(d, keep)[:keep]
+                rows, d = rows[near], d[near]
+            mine = sorted((dist, v) for r, dist in zip(rows.tolist(), d.tolist(), strict=True) for v in ids[r] if v != qs[i])[:k]
+            out[0].extend([qs[i]] * len(mine))
+            out[1].extend(v for _, v in mine)
+            out[2].extend(dist for dist, _ in mine)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     return run
 
@@ -223,18 +270,19 @@ def search(df: DataFrame, queries, *, k=10, id_col="vec_id", vec_col="embedding"
     parts = every.distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(low)).filter(F.col("r") <= k + 1)
     vectors = parts.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     placed = materialise(vectors.mapInArrow(_index(held), "v array<double>, ids array<long>, leaf long"), "vectors")
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    if placed.count() <= GROUP:
+    sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # leaves are bounded by the sample
+    total = sum(sizes.values())
+    if total <= GROUP:
         visits = tree.leaves
-    salts = sizes.select("leaf", F.ceil(F.col("n") / GROUP).alias("salts"))  # leaves are bounded by the sample
-    right = placed.join(F.broadcast(salts), "leaf").withColumn("salt", F.pmod(F.xxhash64("v"), "salts")).select("leaf", "salt", "v", "ids")
+    salts = {leaf: -(-n // GROUP) for leaf, n in sizes.items()}
+    buckets = max(1, -(-total // BUCKET))
     asked = every.filter(queries).distinct().select(F.col("vec_id").alias("query_id"), "v")
-    asked = materialise(asked.mapInArrow(_visits(held, visits), "query_id long, v array<double>, leaf long"), "visits")
-    blocks = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks"))
-    left = asked.join(F.broadcast(blocks), "leaf").join(F.broadcast(salts), "leaf").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("leaf", "salt", "block", "query_id", "v")
-    right = right.join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    by = ["leaf", "salt", "block"]
-    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare(k), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    left = asked.mapInArrow(_visits(held, visits, spark.sparkContext.broadcast(salts), buckets, blocks), "bucket long, block long, query_id long, v array<double>, units array<long>")
+    many = F.broadcast(spark.createDataFrame(list(salts.items()), "leaf long, salts long"))
+    right = placed.join(many, "leaf").withColumn("salt", F.pmod(F.xxhash64("v"), "salts"))
+    right = right.select(F.expr(f"shiftleft(leaf, {SALT_BITS}) + salt").alias("unit"), "v", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = right.mapInArrow(_dealt(buckets), "bucket long, unit long, v array<double>, ids array<long>, block long")
+    near = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

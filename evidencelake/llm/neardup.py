@@ -450,7 +450,7 @@ def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW)
         texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
         labels = _settle(member, texts, _confirm(pairs, texts, labels))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(sets.select("n_shingles", "fp1", "fp2", "node"), ["n_shingles", "fp1", "fp2"], "left")
-    out = _label(out.withColumn("_at", F.coalesce("node", "doc_id")), labels, "_at", "component_id")
+    out = _label(out.withColumn("_at", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))), labels, "_at", "component_id")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 

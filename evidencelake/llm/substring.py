@@ -356,7 +356,7 @@ def _cut(window):
         order = np.lexsort((places["keys"], places["docs"]))
         d, k, a = places["docs"][order], places["keys"][order], places["at"][order].astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.empty(0, np.int64)
-        bounds = {(int(d[lo]), int(k[lo])): (lo, hi) for lo, hi in zip(new, [*new[1:], len(d)], strict=True)}
+        bounds = {(int(d[lo]), int(k[lo])): (lo, hi) for lo, hi in zip(new, np.append(new[1:], len(d))[: len(new)], strict=True)}
         cols: list[list] = [[], [], [], [], [], []]
         for docs, keys, body in _open(texts):
             for doc, key, text in zip(docs, keys, body, strict=True):
