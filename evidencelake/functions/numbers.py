@@ -13,39 +13,40 @@ TOLERANCE = 0.005
 REACH = 14
 
 
-def _parts(text: Column):
-    group = lambda i: F.regexp_extract_all(text, F.lit(NUMBER), F.lit(i))
-    return F.split(text, NUMBER, -1), group(0), group(1), group(2), group(3)
-
-
 def readings(text: Column) -> Column:
     """Every figure: its text, face value, the values it can stand for, digits, and whether it is money or a bare integer.
 
     A scale word right after a figure pins its value; without one, each of the
     five scales is a reading. What stands between figures comes from splitting
-    by the same pattern, so no positions are needed.
+    by the same pattern, so no positions are needed. The matches are zipped
+    before they are read, so that each pattern runs once on a text.
     """
-    gaps, whole, opener, digits, closer = _parts(text)
+    group = lambda i: F.regexp_extract_all(text, F.lit(NUMBER), F.lit(i))
+    gaps = F.split(text, NUMBER, -1)
+    zipped = F.arrays_zip(
+        group(0).alias("whole"), group(1).alias("opener"), group(2).alias("digits"), group(3).alias("closer"), gaps.alias("before"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after")
+    )
 
-    def one(i):
-        raw = F.regexp_replace(F.get(digits, i), ",", "")
+    def one(z):
+        raw = F.regexp_replace(z["digits"], ",", "")
         size = raw.cast("double")
-        negative = (F.get(opener, i) == "-") | ((F.get(opener, i) == "(") & (F.get(closer, i) == ")"))
-        face = F.when(negative, -size).otherwise(size)
-        word = F.lower(F.regexp_extract(F.ltrim(F.substring(F.get(gaps, i + 1), 1, REACH)), SCALE_WORD, 1))
+        negative = (z["opener"] == "-") | ((z["opener"] == "(") & (z["closer"] == ")"))
+        word = F.lower(F.regexp_extract(F.ltrim(F.substring(z["after"], 1, REACH)), SCALE_WORD, 1))
         scale = F.lit(None).cast("double")
         for name, x in SCALES.items():
             scale = F.when(word == name, F.lit(x)).otherwise(scale)
-        every = F.array(face, *[face * x for x in SCALES.values()])
-        before = F.substring(F.get(gaps, i), -2, 2)
         bare = F.regexp_replace(raw, "^0+", "")
         return F.struct(
-            F.trim(F.get(whole, i)).alias("text"), face.alias("face"), F.when(scale.isNotNull(), F.array(face * scale)).otherwise(every).alias("readings"),
-            F.when(bare == "", "0").otherwise(bare).alias("digits"), (F.contains(F.get(whole, i), F.lit("$")) | F.contains(before, F.lit("$"))).alias("money"),
-            (~F.contains(raw, F.lit(".")) & scale.isNull()).alias("bare_int"), every.alias("every"),
+            F.trim(z["whole"]).alias("text"), F.when(negative, -size).otherwise(size).alias("face"), scale.alias("scale"), F.when(bare == "", "0").otherwise(bare).alias("digits"),
+            (F.contains(z["whole"], F.lit("$")) | F.contains(F.substring(z["before"], -2, 2), F.lit("$"))).alias("money"), (~F.contains(raw, F.lit("."))).alias("whole"),
         )
 
-    return F.when(F.size(whole) > 0, F.transform(F.sequence(F.lit(0), F.size(whole) - 1), one)).otherwise(F.array().cast("array<struct<text:string,face:double,readings:array<double>,digits:string,money:boolean,bare_int:boolean,every:array<double>>>"))
+    def spread(r):
+        every = F.array(r["face"], *[r["face"] * x for x in SCALES.values()])
+        named = F.when(r["scale"].isNotNull(), F.array(r["face"] * r["scale"])).otherwise(every)
+        return F.struct(r["text"].alias("text"), r["face"].alias("face"), named.alias("readings"), r["digits"].alias("digits"), r["money"].alias("money"), (r["whole"] & r["scale"].isNull()).alias("bare_int"), every.alias("every"))
+
+    return F.transform(F.transform(F.filter(zipped, lambda z: z["whole"].isNotNull()), one), spread)
 
 
 def parse_numbers(text: Column) -> Column:

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from evidencelake.plans import answers, facts, texts
+
+_MODULES = (facts, texts, answers)
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
