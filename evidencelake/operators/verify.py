@@ -172,7 +172,7 @@ def decompose(answers: DataFrame, numbers: DataFrame) -> DataFrame:
 def mutations(answers: DataFrame) -> DataFrame:
     """Wrong versions of answers for a negative control: a figure changed, citations dangling, citations gone, a figure added."""
     a = F.col("answer")
-    changed = F.regexp_replace(a, r"(\d)(\d{2,})", "9$1$2")
+    changed = F.regexp_replace(a, r"(?<![\w.,])(\d)(?=[\d,]*\d)", "9$1")
     rows = [("figure_changed", changed), ("dangling", F.regexp_replace(a, r"\[\d+\]", "[99]")), ("uncited", F.regexp_replace(a, r"\s*\[\d+\]", "")), ("figure_added", F.concat(a, F.lit(" It also reported 987,654,321 in total [1].")))]
     out = None
     for name, x in rows:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition
@@ -114,8 +115,6 @@ class _SubmissionsReader(DataSourceReader):
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Filed documents: path, bytes, sha256 as served, text with bad bytes replaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: bytes(b).decode("utf-8", errors="replace"))
