@@ -38,7 +38,7 @@ def test_query_runs(spark, tiny, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert 0 < e.entry(spark).count() <= 5
+    assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
