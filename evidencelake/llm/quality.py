@@ -3,8 +3,10 @@
 Method: a text becomes counts of terms: its lower-cased words, the shapes of its
 words (runs of capitals, small letters, digits and the marks themselves) and one
 for words that repeat the word before, hashed into ``WORD_TERMS`` and
-``SHAPE_TERMS`` buckets. TF-IDF weights and a truncated SVD of labelled rows give
-a latent space of ``DIMS`` dimensions. The labelled rows' vectors are broadcast;
+``SHAPE_TERMS`` buckets. Words weigh by TF-IDF, shapes by the root of their share
+of the text; either part has a fixed length, so neither drowns the other in a
+long text. A truncated SVD of labelled rows gives a latent space of ``DIMS``
+dimensions. The labelled rows' vectors are broadcast;
 a task multiplies a block of documents with blocks of them, so each document
 sees the exact cosine to every labelled vector, and takes a vote of the
 ``NEIGHBOURS`` nearest, each label weighted by its similarity to the power
@@ -36,8 +38,8 @@ SAMPLE, DIMS, NEIGHBOURS, SHARPNESS = 3000, 48, 11, 8
 WORD_TERMS, SHAPE_TERMS = 8192, 1024
 TERMS = WORD_TERMS + SHAPE_TERMS + 1
 REPEAT = TERMS - 1
-#: Shapes and repeats are few among thousands of words; they count this much more.
-SHAPE_WEIGHT = 4.0
+#: Length of the part of shapes, where that of words is 1; and what repeats weigh among shapes.
+SHAPE_WEIGHT, REPEAT_WEIGHT = 1.5, 2.0
 THRESHOLD = 0.3
 KNOWN = 200_000
 
@@ -79,7 +81,13 @@ class Terms:
         total = np.bincount(pairs.ravel(), weights=np.repeat(n, 2), minlength=TERMS)
         total[REPEAT] = sum(map(str.__eq__, words, words[1:]))
         at = np.flatnonzero(total)
-        return at, 1 + np.log(total[at])
+        weights = total[at]
+        cut = np.searchsorted(at, WORD_TERMS)
+        weights[:cut] = 1 + np.log(weights[:cut])
+        weights[cut:] = np.sqrt(weights[cut:] / len(words))
+        if at[-1] == REPEAT:
+            weights[-1] *= REPEAT_WEIGHT
+        return at, weights
 
 
 def _terms_of(batches):
@@ -101,14 +109,17 @@ class Model:
         rows = [r for r in rows if len(r[1])]
         df = np.bincount(np.concatenate([r[1] for r in rows]), minlength=TERMS) if rows else np.zeros(TERMS)
         self.idf = np.log((1 + len(rows)) / (1 + df)) + 1
-        self.idf[WORD_TERMS:] *= SHAPE_WEIGHT
         a = np.zeros((len(rows), TERMS), np.float32)
         for i, (_, at, w) in enumerate(rows):
-            v = w * self.idf[at]
-            a[i, at] = v / np.linalg.norm(v)
+            a[i, at] = self._weighted(at, w)
         self.axes = self._axes(a, dims)
         self.vectors = _unit(a @ self.axes)
 
+    def _weighted(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        cut = np.searchsorted(at, WORD_TERMS)
+        words, shapes = w[:cut] * self.idf[at[:cut]], w[cut:]
+        return np.concatenate([words / (np.linalg.norm(words) or 1), SHAPE_WEIGHT * shapes / (np.linalg.norm(shapes) or 1)]).astype(np.float32)
+
     @staticmethod
     def _axes(a: np.ndarray, dims: int) -> np.ndarray:
         """Right singular vectors by a randomised SVD with two power rounds."""
@@ -125,7 +136,7 @@ class Model:
         out = np.zeros((len(got), self.axes.shape[1]), np.float32)
         for i, (at, w) in enumerate(got):
             if len(at):
-                out[i] = (w * self.idf[at]).astype(np.float32) @ self.axes[at]
+                out[i] = self._weighted(at, w) @ self.axes[at]
         return _unit(out)
 
     def score(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
