@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import evals, facts, lookup, metrics
+from evidencelake.operators import evals, facts, gates, lookup, metrics
 from evidencelake.plans import fixtures as X
 from evidencelake.sources import manifest, xbrl
 from evidencelake.tables import table
@@ -253,3 +253,23 @@ def xbrl_flatten(spark, d):
     c = t.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("p_type", F.struct("units")))).alias("tags"))
     pay = c.select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("cik"), F.lit("T").alias("ticker"), F.to_json(F.struct(F.create_map(F.lit("us-gaap"), "tags").alias("facts"))).alias("payload"))
     return xbrl.facts(pay).select("cik", "tag", "unit", "period_start", "period_end", "period_days", "span", "val", "accn")
+
+
+@query(f"""WITH {X.FACTS}, {X.COMPANY_ROWS}, {X.FILINGS}, t AS (SELECT count(*) AS n FROM fil), few AS (SELECT count(*) AS n FROM (SELECT co.cik FROM co LEFT JOIN fil USING (cik) GROUP BY co.cik HAVING count(accn) < 10)),
+odd AS (SELECT count(*) AS n FROM fil WHERE bytes % 1000 = 7), dup AS (SELECT count(*) AS n FROM (SELECT 1 FROM facts GROUP BY cik, taxonomy, tag, unit, period_start, period_end, accn HAVING count(*) > 1))
+SELECT 'corpus size' AS "check", n >= 1000 AS ok, CAST(n AS VARCHAR) || ' of at least 1000' AS detail FROM t UNION ALL SELECT 'manifest matches disk', n = 0, CAST(n AS VARCHAR) || ' rows' FROM odd
+UNION ALL SELECT 'payload for every company', true, '0 rows' UNION ALL SELECT 'filings for every company', n = 0, CAST(n AS VARCHAR) || ' rows' FROM few UNION ALL SELECT 'identities are unique', n = 0, CAST(n AS VARCHAR) || ' rows' FROM dup""")
+def data_gates(spark, d):
+    f = X.filings(spark, d)
+    listing = f.filter("bytes % 1000 <> 7").select("path")
+    c = gates.corpus(X.companies(spark, d), f, _payloads(spark, d), listing, least=1000, per_company=10)
+    return gates.every(c, gates.none_of("identities are unique", facts.duplicate_keys(X.facts(spark, d), *facts.IDENTITY, "accn")))
+
+
+@query("""WITH g AS (SELECT c_mktsegment AS question, max(c_acctbal) AS v, min(c_acctbal) AS w FROM customer GROUP BY 1)
+SELECT question, v AS expected, CASE WHEN question = 'MACHINERY' THEN v * 1.02 WHEN question <> 'BUILDING' THEN v * 1.001 END AS got, question NOT IN ('MACHINERY', 'BUILDING') AS ok FROM g""")
+def expected_values(spark, d):
+    """Answers judged against the values they should have."""
+    g = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("question")).agg(F.max("c_acctbal").alias("v"))
+    got = g.filter("question <> 'BUILDING'").select("question", F.when(F.col("question") == "MACHINERY", F.col("v") * 1.02).otherwise(F.col("v") * 1.001).alias("got"))
+    return gates.judge(got, g.select("question", F.col("v").alias("expected")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import ids
 from evidencelake.functions import numbers as N
-from evidencelake.operators import chunking, evals, relations, search
+from evidencelake.operators import chunking, evals, locate, relations, search
 from evidencelake.tables import table
 
 QUERIES: dict = {}
@@ -280,3 +280,51 @@ def edge_search(spark, d):
     n = F.col("n_nationkey").cast("string")
     q = table(spark, d, "nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("What does the customer "), n, F.lit(" supplies?")).alias("question"), F.concat(F.lit("C"), n).alias("ticker"))
     return relations.search(_edges(spark, d), q, order=("accn", "target", "kind")).select("qid", "rank", "score", "source", "target", "kind", "accn")
+
+
+# -- rules, citations and places -----------------------------------------
+
+
+@query("""WITH c AS (SELECT doc_id, text, source, lang FROM documents), q AS (SELECT n_nationkey AS qid, 'the[a-z]' || substr(lower(n_name), 1, 1) AS re, n_nationkey % 20 AS src FROM nation)
+SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id FROM c JOIN q ON source = 'src' || CAST(src AS VARCHAR) AND lang = 'en' AND CAST(doc_id % 9 AS VARCHAR) >= '2' AND regexp_matches(text, re, 'i')""")
+def predicate_gold(spark, d):
+    n = table(spark, d, "nation")
+    none = F.array().cast("array<string>")
+    q = n.select(
+        F.col("n_nationkey").alias("qid"), F.concat(F.lit("the[a-z]"), F.lower(F.substring("n_name", 1, 1))).alias("must_match"), F.array(F.concat(F.lit("src"), (F.col("n_nationkey") % 20).cast("string"))).alias("tickers"),
+        none.alias("items"), F.array(F.lit("EN")).alias("forms"), F.lit("2").alias("period_from"), F.lit("").alias("period_to"),
+    )
+    c = _docs(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("ticker"), F.lit("FULL").alias("item_key"), F.col("lang").alias("form"), (F.col("doc_id") % 9).cast("string").alias("period_end"))
+    return evals.predicate_gold(q, c)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS qid, o_orderstatus AS slice, o_orderkey % 50 AS a, o_orderkey % 77 AS b FROM orders), x AS (SELECT qid, slice, a, unnest([a, b]) AS id FROM o),
+y AS (SELECT *, id = a OR id = a + 1 AS got, id < 60 AS known, id % 2 = 0 AS gold FROM x) SELECT slice, count(*) AS citations_made, round(avg(CASE WHEN got OR known THEN 1.0 ELSE 0.0 END), 9) AS citations_resolvable, round(avg(CASE WHEN got AND gold THEN 1.0 ELSE 0.0 END), 9) AS citations_supported FROM y GROUP BY slice""")
+def citation_scores(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_orderstatus").alias("slice"), (F.col("o_orderkey") % 50).alias("a"), (F.col("o_orderkey") % 77).alias("b"))
+    out = o.select("qid", "slice", F.array("a", F.col("a") + 1).alias("retrieved"), F.array("a", "b").alias("citations"))
+    known = spark.range(60).select(F.col("id").alias("chunk_id"))
+    gold = o.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(76).cast("long"), F.lit(2).cast("long"))).alias("chunk_id"))
+    got = evals.citation_scores(out, known, gold)
+    return got.withColumns({c: F.round(c, 9) for c in ("citations_resolvable", "citations_supported")})
+
+
+@query()
+def locate_value(spark, d):
+    """Numbers of four digits and more that documents print, found again with their places."""
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("accn"), "text")
+    seen = docs.select("accn", F.explode(F.array_distinct(F.transform(N.readings(F.col("text")), lambda r: F.abs(r["face"])))).alias("val")).filter("val >= 1000 and val < 1e12 and val = floor(val)")
+    return locate.values(seen, docs).select("accn", "val", "rendering", "n_hits", F.get("hits", F.lit(0))["start"].alias("first_at"))
+
+
+@query()
+def heading_candidates(spark, d):
+    return locate.heading_candidates(chunking.line_blocks(_docs(spark, d)), "doc_id")
+
+
+@query(f"""WITH {_RRF}, c AS (SELECT rr.qid, rr.id, rr.rank AS fused_rank, ds.score FROM rr JOIN ds ON ds.qid = rr.qid AND ds.id = rr.id WHERE rr.rank <= 50),
+r AS (SELECT qid, id, fused_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, fused_rank, id) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 5""")
+def cosine_rerank(spark, d):
+    e, q = _vectors(spark, d)
+    hits = search.cosine_rerank(_rrf(spark, d), e, q, top_n=1 << 30)
+    return search.top(hits.drop("rank").withColumn("score", F.round("score", 9)).withColumn("_id", F.col("id")).withColumn("id", F.struct("fused_rank", "id")), 5).select("qid", F.col("id.id").alias("id"), F.col("id.fused_rank").alias("fused_rank"), "rank")
