@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import materialise, pick, slices
+from evidencelake.llm.common import discard, materialise, pick, slices
 from evidencelake.llm.graph import components
 
 SHINGLE, TREES, DEPTH, WINDOW = 5, 20, 3, 4
@@ -376,7 +376,7 @@ def _label(df: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
 
 def _confirm(candidates: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels after ``ROUNDS`` rounds in which each group tries its most promising candidate (a, b, agree)."""
-    rest = candidates
+    rest, used = candidates, []
     for _ in range(ROUNDS):
         cross = _label(_label(rest, labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b", "agree", "ca", "cb")
         cross = materialise(cross, "cross")
@@ -387,6 +387,9 @@ def _confirm(candidates: DataFrame, texts: DataFrame, labels: DataFrame) -> Data
         checked = materialise(chosen.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check, "a long, b long, ok boolean"), "checked")
         labels = _joined(labels, _label(_label(checked.filter("ok"), labels, "a", "ca"), labels, "b", "cb"), "ca", "cb")
         rest = cross.select("a", "b", "agree").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        used += [cross, checked]
+    for df in used:
+        discard(df)
     return labels
 
 
@@ -413,7 +416,10 @@ def _settle(member: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame
     size = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # shingles, about eight bytes of text each
     by = F.pmod(F.xxhash64("region", "x", "y"), F.lit(max(1, -(-size // (2 << 20)))))
     links = found.join(texts, "node").withColumn("bucket", by).groupBy("bucket").applyInArrow(_compare, "a long, b long")
-    return _joined(labels, links, "a", "b")
+    labels = _joined(labels, links, "a", "b")
+    for df in (d, found):
+        discard(df)
+    return labels
 
 
 def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW) -> DataFrame:
@@ -449,6 +455,8 @@ def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW)
         texts = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
         labels = _settle(member, texts, _confirm(pairs, texts, labels))
+        for df in (member, near, pairs, texts):  # labels are written; nothing reads these any more
+            discard(df)
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(sets.select("n_shingles", "fp1", "fp2", "node"), ["n_shingles", "fp1", "fp2"], "left")
     out = _label(out.withColumn("_at", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))), labels, "_at", "component_id")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))

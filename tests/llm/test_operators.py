@@ -390,6 +390,11 @@ def test_copied_pages_are_no_template(spark):
     assert {r.text for r in pages.extract(df).collect()} == {"Copied\nCopied text."}
 
 
+def test_dropped_paragraphs_and_items():
+    page = '<article><p>One<p class="notice">no<p>Two<ul><li class="ad"><p>no</p></li><li>Three</ul><h2 id="related">no</h2><div class="share"><p>no<p>no</div><p hidden>no</p>Four</article><p>no'
+    assert pages.main_text(page, frozenset(), None) == "One\nTwo\nThree\nFour"
+
+
 def test_page_blocks_decode():
     assert pages.main_text("<p>&eacute;&#233; &nbsp;x&amp;y</p>", frozenset(), None) == html_lib.unescape("&eacute;&#233; x&amp;y")
 
