@@ -36,9 +36,10 @@ def check_numbers(answers: DataFrame, evidence: DataFrame, tolerance: float = N.
     c = claims(answers)
     body = F.regexp_replace(F.coalesce("body", F.lit("")), T.ISO_DATE, " ")
     e = evidence.select("qid", "kind", "value", body.alias("body"), F.coalesce("body", F.lit("")).alias("raw"), F.col("period_end").cast("string").alias("pe"))
-    printed = F.format_number("value", 0)
-    e = e.withColumn("digits", F.array_union(N.digit_strings(F.col("body")), F.when(F.col("value").isNotNull(), N.digit_strings(printed)).otherwise(F.array().cast("array<string>"))))
-    e = e.withColumn("values", F.concat(F.when(F.col("value").isNotNull(), F.array("value")).otherwise(F.array().cast("array<double>")), F.flatten(F.transform(N.readings(F.col("body")), lambda r: r["readings"]))))
+    # figures are read once and then used twice
+    e = e.withColumn("said", N.readings(F.col("body"))).withColumn("printed", N.readings(F.coalesce(F.format_number("value", 0), F.lit(""))))
+    e = e.withColumn("digits", F.array_distinct(F.transform(F.concat("said", "printed"), lambda r: r["digits"])))
+    e = e.withColumn("values", F.concat(F.array_compact(F.array("value")), F.flatten(F.transform("said", lambda r: r["readings"]))))
     dated = F.transform(F.regexp_extract_all("raw", F.lit(T.ISO_DATE), F.lit(0)), lambda d: F.substring(d, 1, 4).cast("int"))
     own = F.when(F.col("pe").rlike(r"^\d{4}"), F.array(F.substring("pe", 1, 4).cast("int"))).otherwise(F.array().cast("array<int>"))
     e = e.withColumn("years", F.concat(dated, own))

@@ -93,7 +93,7 @@ def synthesised_answers(spark, d):
 def _answers(spark, d) -> tuple[DataFrame, DataFrame]:
     """Each order's price in an answer of one of six kinds, with its line and its document as evidence."""
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 6).alias("kind"))
-    v = F.floor(F.col("o_totalprice") / 1000) * 1000
+    v = F.greatest(F.floor(F.col("o_totalprice") / 1000) * 1000, F.lit(2000).cast("long"))
     price = F.format_number(v, 0)
     texts_ = [
         F.concat(F.lit("The order came to $"), price, F.lit(" [1].")), F.concat(F.lit("It reported "), F.format_number(F.floor(v / 1000), 0), F.lit(" thousand [1].")),
@@ -114,17 +114,16 @@ def _answers(spark, d) -> tuple[DataFrame, DataFrame]:
     return a, fact.unionByName(prose)
 
 
-_KIND = "k AS (SELECT o_orderkey AS qid, o_orderkey % 6 AS kind, floor(o_totalprice / 1000) * 1000 AS v FROM orders)"
+_KIND = "k AS (SELECT o_orderkey AS qid, o_orderkey % 6 AS kind, greatest(floor(o_totalprice / 1000) * 1000, 2000) AS v FROM orders)"
 
 
-@query(f"WITH {_KIND} SELECT qid, CASE kind WHEN 4 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS n_figures, CASE WHEN kind = 2 THEN 1 ELSE 0 END AS n_unsupported, CASE WHEN kind IN (0, 1, 3, 4) THEN 1 ELSE 0 END AS n_supported, CASE WHEN kind = 4 THEN 1 ELSE 0 END AS n_context FROM k WHERE v >= 2000")
+@query(f"WITH {_KIND} SELECT qid, CASE kind WHEN 4 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS n_figures, CASE WHEN kind = 2 THEN 1 ELSE 0 END AS n_unsupported, CASE WHEN kind IN (0, 1, 3, 4) THEN 1 ELSE 0 END AS n_supported, CASE WHEN kind = 4 THEN 1 ELSE 0 END AS n_context FROM k")
 def number_verify(spark, d):
     a, e = _answers(spark, d)
-    big = table(spark, d, "orders").filter(F.col("o_totalprice") >= 2000).select(F.col("o_orderkey").alias("qid"))
-    n = verify.check_numbers(a.join(big, "qid"), e).groupBy("qid")
+    n = verify.check_numbers(a, e).groupBy("qid")
     of = lambda s: F.sum((F.col("status") == s).cast("int")).cast("int")
     got = n.agg(F.count(F.lit(1)).cast("int").alias("n_figures"), of("unsupported").alias("n_unsupported"), of("supported").alias("n_supported"), of("context").alias("n_context"))
-    return big.join(got, "qid", "left").na.fill(0)
+    return a.select("qid").join(got, "qid", "left").na.fill(0)
 
 
 @query(f"WITH {_KIND} SELECT qid, CASE WHEN kind IN (0, 1, 2, 4) THEN [1] ELSE [] END AS made, CASE WHEN kind = 4 THEN [7] ELSE [] END AS dangling, CASE WHEN kind = 5 THEN [2] ELSE [] END AS unlocatable FROM k")
@@ -137,35 +136,32 @@ def uncited_claims(spark, d):
     return verify.uncited(_answers(spark, d)[0]).select("qid", F.size("uncited").alias("n_uncited"))
 
 
-@query(f"WITH {_KIND} SELECT qid, kind IN (0, 1) AS ok, kind NOT IN (0, 1) AS blocked, CASE WHEN kind = 2 THEN 'synthesis_drift,grader_false_positive' WHEN kind = 4 THEN 'grader_false_positive' ELSE '' END AS taxonomy FROM k WHERE v >= 2000")
+@query(f"WITH {_KIND} SELECT qid, kind IN (0, 1) AS ok, kind NOT IN (0, 1) AS blocked, CASE WHEN kind = 2 THEN 'synthesis_drift,grader_false_positive' WHEN kind = 4 THEN 'grader_false_positive' ELSE '' END AS taxonomy FROM k")
 def guard(spark, d):
     a, e = _answers(spark, d)
-    big = table(spark, d, "orders").filter(F.col("o_totalprice") >= 2000).select(F.col("o_orderkey").alias("qid"))
-    g = verify.guard(verify.verdicts(a.join(big, "qid"), e), refusal=answer.REFUSAL)
+    g = verify.guard(verify.verdicts(a, e), refusal=answer.REFUSAL)
     return g.select("qid", "ok", "blocked", F.array_join("taxonomy", ",").alias("taxonomy"))
 
 
-@query(f"""WITH {_KIND}, b AS (SELECT * FROM k WHERE v >= 2000) SELECT count(*) AS answers, count(*) FILTER (WHERE kind < 2) AS verified, count(*) FILTER (WHERE kind >= 2) AS blocked, count(*) FILTER (WHERE kind < 5) AS figures,
+@query(f"""WITH {_KIND} SELECT count(*) AS answers, count(*) FILTER (WHERE kind < 2) AS verified, count(*) FILTER (WHERE kind >= 2) AS blocked, count(*) FILTER (WHERE kind < 5) AS figures,
   count(*) FILTER (WHERE kind IN (0, 1, 3, 4)) AS supported, CAST(0 AS BIGINT) AS derived, count(*) FILTER (WHERE kind = 2) AS unsupported, count(*) FILTER (WHERE kind IN (0, 1, 2, 4)) AS citations, count(*) FILTER (WHERE kind = 4) AS dangling,
   count(*) FILTER (WHERE kind = 5) AS unlocatable, count(*) FILTER (WHERE kind = 3) AS uncited, count(*) FILTER (WHERE kind = 2) / count(*) FILTER (WHERE kind < 5) AS hallucination_rate,
-  count(*) FILTER (WHERE kind IN (0, 1, 2, 4)) / (count(*) FILTER (WHERE kind IN (0, 1, 2, 4, 5)) + count(*) FILTER (WHERE kind = 4)) AS locator_rate FROM b""")
+  count(*) FILTER (WHERE kind IN (0, 1, 2, 4)) / (count(*) FILTER (WHERE kind IN (0, 1, 2, 4, 5)) + count(*) FILTER (WHERE kind = 4)) AS locator_rate FROM k""")
 def guard_report(spark, d):
     a, e = _answers(spark, d)
-    big = table(spark, d, "orders").filter(F.col("o_totalprice") >= 2000).select(F.col("o_orderkey").alias("qid"))
-    return verify.guard_report(verify.guard(verify.verdicts(a.join(big, "qid"), e))).drop("by_digits")
+    return verify.guard_report(verify.guard(verify.verdicts(a, e))).drop("by_digits")
 
 
 @query()
 def negative_control(spark, d):
-    """Mutated versions of good answers, and how many of each the verifier stops."""
+    """Mutated versions of the answers that pass, and how many of each the verifier stops; all are checked in one pass."""
     a, e = _answers(spark, d)
-    good = a.filter("qid % 6 = 0").join(table(spark, d, "orders").filter(F.col("o_totalprice") >= 2000).select(F.col("o_orderkey").alias("qid")), "qid")
-    m = verify.mutations(good)
-    out = None
-    for name in ("figure_changed", "dangling", "uncited", "figure_added"):
-        v = verify.verdicts(m.filter(F.col("mutation") == name).drop("mutation"), e).agg(F.lit(name).alias("mutation"), F.count(F.lit(1)).alias("n"), F.sum((~F.col("ok")).cast("long")).alias("caught"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    every = verify.mutations(a).unionByName(a.withColumn("mutation", F.lit("none")))
+    named = every.withColumn("base", F.col("qid")).withColumn("qid", F.concat_ws(":", "mutation", F.col("base").cast("string")))
+    shown = named.select("qid", "base").join(e.withColumnRenamed("qid", "base"), "base").drop("base")
+    v = verify.verdicts(named.drop("mutation", "base"), shown).select(F.split("qid", ":").alias("k"), "ok").select(F.get("k", F.lit(0)).alias("mutation"), F.get("k", F.lit(1)).alias("base"), "ok")
+    good = v.filter("mutation = 'none' and ok").select("base")
+    return v.filter("mutation <> 'none'").join(good, "base").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("ok")).cast("long")).alias("caught"))
 
 
 @query()
@@ -297,6 +293,6 @@ def span_counters(spark, d):
     return traces.counters(e.select(F.col("event_type").alias("name"), F.get_json_object("props", "$.k").cast("long").alias("ms"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status")))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+'), ' ') AS key FROM documents")
-def normalised_heads(spark, d):
-    return texts._docs(spark, d).select("doc_id", T.normalise(F.substring("text", 1, 200)).alias("key"))
+@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS key FROM documents")
+def normalised_texts(spark, d):
+    return texts._docs(spark, d).select("doc_id", T.normalise(F.col("text")).alias("key"))
