@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     at = sc.getCheckpointDir()
     if at is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidencelake-"))
+        own = tempfile.mkdtemp(prefix="evidencelake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
         at = sc.getCheckpointDir()
     return at.rstrip("/")
 

@@ -21,8 +21,9 @@ Three rounds, each a shuffle of packed arrays (one row per task and group):
 
 Hot sequences are reduced before they are moved: a task sends a prefix or a
 window once, with its count, however many of its documents hold it, and removes
-its own later copies itself. Groups are sized by ``GROUP_BYTES`` of text, so
-memory does not depend on the input. The list of heavy prefixes is broadcast; it
+its own later copies itself. Groups are sized by ``group_bytes`` of text, so memory
+does not depend on the input; on executors with more memory a larger value keeps
+the packed rows long on very large inputs. The list of heavy prefixes is broadcast; it
 has at most ``HEAVY_MOST`` entries, as the limit rises with the corpus.
 
 Documents are ordered by (doc_id, hash of the text), null ids last; repeated rows
