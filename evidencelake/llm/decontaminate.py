@@ -18,7 +18,6 @@ other than those named are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -242,8 +241,3 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col
     h = hits.select(F.col("doc_id").alias("_d"), "text_key", "spans")
     both = keyed.join(h, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("text_key")), "left")
     return both.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text string")
-
-
-def items_digest(ids: list[str]) -> str:
-    """What ``report`` gives as items_sha256, for checks."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

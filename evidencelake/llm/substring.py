@@ -38,7 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -205,7 +205,7 @@ def _share_prefixes(heavy, shelves):
                 out += _rows(_shelf(x["docs"][i], x["keys"][i], shelves), 1, x["docs"][i], x["keys"][i], x["at"][i])
             if (total > heavy).any():
                 out.append((0, 2, b"", b"", b"", b"", s[new[total > heavy]].astype("<u8").tobytes(), b""))
-        return pa.concat_tables([_table(out), table.filter(pa.compute.equal(table.column("kind"), 1)).cast(_PACKED_ARROW)])
+        return pa.concat_tables([_table(out), table.filter(pc.equal(table.column("kind"), 1)).cast(_PACKED_ARROW)])
 
     return run
 
@@ -343,7 +343,7 @@ def _subtrees(shelves):
             i = np.flatnonzero(_later(x["hashes"], _ordinal(x["docs"], x["keys"], x["at"])))
             if len(i):
                 out += _rows(_shelf(x["docs"][i], x["keys"][i], shelves), 1, x["docs"][i], x["keys"][i], x["at"][i])
-        return pa.concat_tables([_table(out), table.filter(pa.compute.equal(table.column("kind"), 1)).cast(_PACKED_ARROW)])
+        return pa.concat_tables([_table(out), table.filter(pc.equal(table.column("kind"), 1)).cast(_PACKED_ARROW)])
 
     return run
 
