@@ -4,8 +4,8 @@ The vocabulary drops white space and lower-cases, and its pre-tokens never cross
 white space, so a text's ids are those of its space-separated words in order.
 Ids of words seen are kept: ``CACHE`` words, and as many from before that, which
 move over when met again.
-A word of plain Latin letters with one closing mark is put together from its
-lower-cased letters and the mark, which the tokenizer also treats apart; a text
+A word of plain Latin letters with closing marks is put together from its
+lower-cased letters and the marks, which the tokenizer also treats apart; a text
 of nothing else is lower-cased and taken apart as a whole.
 """
 
@@ -17,9 +17,11 @@ from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
-CACHE = 250_000
-#: Latin letters that NFC leaves alone and whose lower case is one letter.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+import numpy as np
+
+CACHE, RUN = 250_000, 256
+#: Latin letters that NFC leaves alone and whose lower case is one letter, then ASCII marks but for the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: What a simple text consists of, in Latin-1: those letters, full stops, commas and plain white space.
 _SIMPLE = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100), *b" \t\n\r\x0b\x0c.,"])
 _MARKS = (b"..", b",,", b".,", b",.")
@@ -50,14 +52,29 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # Lower-cased plain letters are one pre-token, so the model alone gives their ids.
         self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _encode(self, tokenizer, words: list[str]) -> None:
-        for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+    def _encode(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.seen[w] = array("I", e.ids).tobytes()
 
+    def _encode_letters(self, words: list[str]) -> None:
+        """Plain words, many in one text; the last id of a word is one that ends words."""
+        seen = self.seen
+        parts = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+        for part, e in zip(parts, self.letters.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw = ids.tobytes()
+            at = 0
+            for w, to in zip(part, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                seen[w] = raw[at:to]
+                at = to
+
     def _learn(self, new: Iterable[str]) -> None:
         seen = self.seen
         whole, letters, composed = [], set(), []
@@ -73,8 +90,8 @@ class WordIds:
                 whole.append(mark)
             if mark or core != w:
                 composed.append((w, core, mark))
-        self._encode(self.tokenizer, whole)
-        self._encode(self.letters, list(letters))
+        self._encode(whole)
+        self._encode_letters(list(letters))
         for w, core, mark in composed:
             seen[w] = seen[core] + seen[mark] if mark else seen[core]
 
@@ -97,12 +114,14 @@ class WordIds:
                 split.append(re.split(r"[^\S\x1c-\x1f]+", t))
             else:
                 split.append(t.split())
-        new = set().union(*split).difference(self.seen) if split else set()
+        here = set().union(*split)
+        new = here.difference(self.seen)
         if len(self.seen) + len(new) > CACHE:
             self.before, self.seen = self.seen, {}
-            new = set().union(*split)
+            new = here
         known = new.intersection(self.before)
         self.seen.update((w, self.before[w]) for w in known)
         self._learn(new.difference(known))
-        get = self.seen.__getitem__
+        # a table of this call's words is small enough to stay in the processor's cache
+        get = dict(zip(here, map(self.seen.__getitem__, here), strict=True)).__getitem__
         return [b"".join(map(get, ws)) for ws in split]

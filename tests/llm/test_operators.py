@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from evidencelake.llm import ann, chat, common, decontaminate, graph, neardup, packing, pages, quality, ring, substring, tokens, tokenscan
 
@@ -288,6 +290,13 @@ def test_ids_equal_the_tokenizers():
             assert array("I", w.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() == b
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abZÉß .,!#'`-~1é\n<|>x\u0301İΣ漢", max_size=40))
+def test_ids_of_any_text(text):
+    w = tokens.word_ids()
+    assert w.encode([text])[0] == array("I", w.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_ids_with_a_small_table(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 5)
     w = tokens.WordIds()
