@@ -27,7 +27,9 @@ from evidencelake.llm.common import materialise, pick, slices
 from evidencelake.llm.tokens import word_ids
 
 SEPARATOR = 49407
-BLOCK, SUPER = 65_536, 1024
+BLOCK, SUPER = 16_384, 4096
+#: Parquet looks at a page's size after a hundred rows only, so pages of whole blocks would be large.
+PAGES = {"parquet.page.size.row.check.min": "4", "parquet.block.size": str(16 << 20)}
 
 BLOCKS = "file string, block long, tokens binary"
 STREAM = BLOCKS + ", ordinal long, doc_id long"
@@ -65,7 +67,7 @@ def _stream(path, separator, block):
 def write_stream(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer: str | None = None, separator=SEPARATOR, block=BLOCK) -> tuple[DataFrame, DataFrame]:
     """One flat token stream for each input partition, in blocks, in the shared folder; and (file, ordinal, doc_id)."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    both = materialise(rows.mapInArrow(_stream(tokenizer, separator, block), STREAM), "stream")
+    both = materialise(rows.mapInArrow(_stream(tokenizer, separator, block), STREAM), "stream", **PAGES)
     return both.filter(F.col("block").isNotNull()).select("file", "block", "tokens"), both.filter(F.col("block").isNull()).select("file", "ordinal", "doc_id")
 
 
