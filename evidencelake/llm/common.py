@@ -14,12 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: ten thousand texts would be tens of megabytes at once.
+BATCH = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` rows, unless the session asks for another number."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """``new_name=exact_old_name`` columns only.
 
     Columns are addressed by position, so others whose names differ only in
     case, hold dots or clash with an operator's own names do no harm.
     """
+    small_batches(df.sparkSession)  # every operator picks its columns first
     flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return flat.select(*[F.col(f"_c{df.columns.index(old)}").alias(new) for new, old in cols.items()])
 
