@@ -3,12 +3,15 @@
 Method: only how many pieces there are of each length (1 to ``capacity``)
 decides how to pack, so the search works on at most ``capacity`` numbers however
 many documents there are. Take the largest remaining length; enumerate the
-undominated fillings of the room around it (a filling is dominated if another
-one holds it item by item in larger items); order them by waste, the best fit
-first; apply the chosen one to as many sequences as the counts allow. The first
-descent gives the best-fit solution as incumbent. Branch and bound goes back
-over the alternatives, cuts a branch whose waste so far leaves no room for a
-better solution, and ends at the lower bound or after ``nodes`` fillings.
+undominated fillings of the room around it (a filling is dominated if an
+item that is left over can take the place of some of its items, or of the waste),
+of however many items; order them by waste, the best fit first; apply the chosen
+one to as many sequences as the counts allow. The first descent gives the
+best-fit solution as incumbent. Branch and bound goes back over the alternatives
+(the filling in fewer sequences, then the other fillings), cuts a branch whose
+waste so far leaves no room for a better solution, and ends at the lower bound,
+when all is searched, or after ``nodes`` choices. Sequences and lower bound are
+logged, and ``bounds`` gives them as a row.
 
 A piece then finds its place by its rank among the pieces of its length. Ranks
 are counted in (length, salt) groups of about ``GROUP`` pieces, so a length that
@@ -21,8 +24,13 @@ an empty table gives no rows; columns other than those named are not read.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from array import array
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,8 @@ from evidencelake.llm.common import materialise, pick, slices
 from evidencelake.llm.tokens import word_ids
 
 CAPACITY, NODES, GROUP = 2048, 60_000, 2048
+#: choices of a path whose enumerations are held
+LIVE = 64
 END = b"\0\0\0\0"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -83,72 +93,70 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three kinds of step, best fit first.
-
-    The largest single item that fits; for each pair and triple only the largest
-    partner that completes it counts, as a smaller one is dominated. Perfect
-    fillings come first, those of fewer (so larger) items before others.
+def _copies(bits: int, x: int, n: int) -> int:
+    """Subset sums after up to ``n`` more items of length ``x``."""
+    k = 1
+    while n > 0:
+        bits |= bits << min(k, n) * x
+        n, k = n - k, 2 * k
+    return bits
+
+
+def dominated(f: tuple[int, ...], spare: int, waste: int) -> bool:
+    """Whether a spare item (a bit of ``spare`` for each length) can take the place of some of ``f`` (descending) that are no longer together."""
+    sums, last = 1, 0
+    for x, n in sorted(Counter(f).items()) + [(None, 0)]:
+        near, wide = sums, 1  # sums of the items shorter than the spare one, and up to ``waste`` more
+        while wide <= waste:
+            near |= near << min(wide, waste + 1 - wide)
+            wide *= 2
+        among = spare >> last + 1 << last + 1
+        if x is not None:
+            among &= (1 << x + 1) - 1
+        if near & among:
+            return True
+        if x is not None:
+            sums, last = _copies(sums, x, n), x
+    return False
+
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of ``room``, of any number of items, the least waste first; None for each dominated one met.
+
+    Of equal waste, those of larger items come first. Sums that the shorter
+    lengths can reach are kept as bits, so each step down leads to a filling.
+    The first one is never dominated.
     """
     have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    one = int(have[-1])
-    found = [(one,)]
-    if one == room:
-        return found
-    big = have[::-1]
-    # the largest item at most x, for every x
-    below = np.zeros(room + 1, np.int64)
-    below[have] = have
-    below = np.maximum.accumulate(below)
-
-    def partners(r: np.ndarray) -> np.ndarray:
-        return below[np.maximum(r, 0)]
-
-    second = partners(room - big)
-    second = np.minimum(second, big)  # the partner is the smaller one
-    twice = (second == big) & (counts[big] < 2)
-    if twice.any():
-        second[twice] = [below[x - 1] if x else 0 for x in big[twice]]
-    ok = second > 0
-    pairs = np.stack([big[ok], second[ok]], 1)
-    if len(pairs):
-        order = np.argsort(-pairs.sum(1), kind="stable")[:most]
-        found += [tuple(map(int, pairs[i])) for i in order]
-        if pairs[order[0]].sum() == room:
-            return [f for f in found if sum(f) == room] + [f for f in found if sum(f) != room]
-    best = max(map(sum, found))
-    for a in big[:400].tolist():
-        if 3 * a < best:
-            break
-        left = room - a
-        cand = big[(big <= a) & (big < left)]
-        if not len(cand):
-            continue
-        third = np.minimum(partners(left - cand), cand)
-        need = (third > 0) & ~((third == cand) & (counts[cand] < 2 + (cand == a))) & ~((cand == a) & (counts[a] < 2))
-        if not need.any():
-            continue
-        total = np.where(need, cand + third, 0)
-        i = int(total.argmax())
-        if a + total[i] > best:
-            best = int(a + total[i])
-            found.append((a, int(cand[i]), int(third[i])))
-            if best == room:
-                break
-    if best < room:  # many small items: best fit, largest first
-        left, held, more = room, counts[: room + 1].copy(), []
-        while left > 0:
-            x = int(below[left]) if held[below[left]] else int(next((v for v in big if v <= left and held[v]), 0))
-            if not x:
-                break
-            more.append(x)
-            held[x] -= 1
-            left -= x
-        found.append(tuple(more))
-    return sorted(set(found), key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[:most]
+    have = have[have > 0].tolist()
+    many = [int(counts[x]) for x in have]
+    reach, mask = [1], (1 << room + 1) - 1
+    for x, n in zip(have, many, strict=True):
+        reach.append(_copies(reach[-1], x, min(n, room // x)) & mask)
+
+    def exact(i: int, target: int):
+        if not target:
+            yield ()
+            return
+        for j in range(min(i, bisect_right(have, target)), 0, -1):
+            if not reach[j] >> target & 1:
+                return
+            x = have[j - 1]
+            for c in range(min(many[j - 1], target // x), 0, -1):
+                if reach[j - 1] >> target - c * x & 1:
+                    for rest in exact(j - 1, target - c * x):
+                        yield (x,) * c + rest
+
+    def found():
+        for target in range(room, -1, -1):
+            if not reach[-1] >> target & 1:
+                continue
+            for f in exact(len(have), target):
+                used = Counter(f)
+                spare = sum(1 << x for x, n in zip(have, many, strict=True) if n > used[x])
+                yield None if dominated(f, spare, room - target) else f
+
+    return found()
 
 
 def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
@@ -157,46 +165,57 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[lis
     bound = lower_bound(counts, capacity)
     left = int((counts * np.arange(len(counts))).sum())
     best, best_bins = None, None
-    path: list[list] = []  # [alternatives, next one, filling applied or None, times]
+    path: list[list] = []  # [largest length, its fillings or None, how many were taken, filling applied, times]
     bins, used = 0, 0
 
-    def apply(f: tuple[int, ...], times: int) -> None:
+    def around(big: int, skip: int):
+        counts[big] -= 1
+        found = fillings(counts, capacity - big)
+        counts[big] += 1
+        return islice(found, skip, None)
+
+    def change(f: tuple[int, ...], times: int) -> None:
+        nonlocal bins, left
         for x in f:
             counts[x] -= times
+        bins += times
+        left -= times * sum(f)
 
     while True:
-        big = int(np.flatnonzero(counts)[-1]) if left else 0
         hopeless = best_bins is not None and bins + -(-left // capacity) >= best_bins
         if not left and not hopeless:
-            best, best_bins = [(f, t) for _, _, f, t in path], bins
-        if best is not None and (best_bins <= bound or used >= nodes):
-            return best, bound
-        if left and not hopeless:
-            counts[big] -= 1
-            around = [(big, *f) for f in fillings(counts, capacity - big)]
-            counts[big] += 1
-            path.append([around, 0, None, 0])
-        else:  # back to the last choice with an alternative
-            while path:
-                step = path[-1]
-                apply(step[2], -step[3])
-                bins -= step[3]
-                left += step[3] * sum(step[2])
-                if step[1] < len(step[0]):
-                    break
+            best, best_bins = [(f, t) for *_, f, t in path], bins
+        elif left and not hopeless:
+            big = int(np.flatnonzero(counts)[-1])
+            path.append([big, around(big, 0), 0, (), 0])
+            if len(path) > LIVE:
+                path[-LIVE - 1][1] = None  # made again if the search comes back
+        while path:  # the next choice: the same filling in fewer sequences, then another filling, then an earlier choice
+            if best is not None and (best_bins <= bound or used >= nodes):
+                return best, bound
+            step = path[-1]
+            big, found, skip, f, times = step
+            change(f, -times)
+            used += 1
+            if times > 1:
+                step[4] -= 1
+                break
+            step[1] = found = found or around(big, skip)
+            f = next(found, False)
+            step[2:] = skip + 1, (), 0
+            if f is None:
+                continue
+            if f is not False:
+                f = (big, *f)
+            # those that follow waste as much or more
+            if f is False or (best_bins is not None and bins + 1 + -(-(left - sum(f)) // capacity) >= best_bins):
                 path.pop()
-            if not path:
-                return best or [], bound
-        step = path[-1]
-        f = step[0][step[1]]
-        step[1] += 1
-        each = {x: f.count(x) for x in f}
-        times = int(min(counts[x] // c for x, c in each.items()))
-        step[2], step[3] = f, times
-        apply(f, times)
-        bins += times
-        left -= times * sum(f)
-        used += 1
+                continue
+            step[3:] = f, min(int(counts[x]) // n for x, n in Counter(f).items())
+            break
+        if not path:
+            return best or [], bound
+        change(*path[-1][3:])
 
 
 def _places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -238,14 +257,28 @@ def _place(plan):
     return run
 
 
-def pack(cut: DataFrame, *, capacity=CAPACITY, nodes=NODES) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. ``cut`` is read three times: give a written table."""
-    spark = cut.sparkSession
+def plan_of(cut: DataFrame, *, capacity=CAPACITY, nodes=NODES):
+    """Pieces by length, the plan of ``complete`` and the lower bound."""
     sizes = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     counts = np.zeros(capacity + 1, np.int64)
     for x, n in sizes.items():
         counts[x] = n
-    plan, _ = complete(counts, capacity, nodes)
+    plan, bound = complete(counts, capacity, nodes)
+    made = sum(t for _, t in plan)
+    logging.getLogger(__name__).log(logging.WARNING if made > bound else logging.INFO, "%d sequences, lower bound %d", made, bound)
+    return sizes, plan, bound
+
+
+def bounds(cut: DataFrame, *, capacity=CAPACITY, nodes=NODES) -> DataFrame:
+    """sequences, lower_bound: what ``pack`` makes of these pieces and what no packing goes below."""
+    _, plan, bound = plan_of(cut, capacity=capacity, nodes=nodes)
+    return cut.sparkSession.createDataFrame([(sum(t for _, t in plan), bound)], "sequences long, lower_bound long")
+
+
+def pack(cut: DataFrame, *, capacity=CAPACITY, nodes=NODES) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``. ``cut`` is read three times: give a written table."""
+    spark = cut.sparkSession
+    sizes, plan, _ = plan_of(cut, capacity=capacity, nodes=nodes)
     salts = spark.createDataFrame([(x, -(-n // GROUP)) for x, n in sizes.items()], "length long, salts long")
     rows = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
     firsts = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))

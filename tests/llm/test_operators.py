@@ -343,6 +343,32 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert bound <= best_bins(sizes, 20) == sum(n for _, n in plan)
 
 
+def test_fillings_of_many_items():
+    """60 pieces of 290 and 20 of 154 fill ten sequences with nothing over: 6 * 290 + 2 * 154 = 2048."""
+    counts = np.zeros(2049, np.int64)
+    counts[290], counts[154] = 60, 20
+    plan, bound = packing.complete(counts, 2048)
+    assert sum(n for _, n in plan) == bound == 10
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_all_undominated_fillings(seed):
+    rng = np.random.default_rng(seed)
+    sizes, room = rng.integers(1, 9, 8).tolist(), 15
+    tries = {tuple(sorted((x for i, x in enumerate(sizes) if bits >> i & 1), reverse=True)) for bits in range(1 << len(sizes))}
+
+    def worse(f):
+        """A spare item can stand for some others of the filling, or for its waste."""
+        rest = Counter(sizes) - Counter(f)
+        parts = {tuple(x for i, x in enumerate(f) if bits >> i & 1) for bits in range(1 << len(f))}
+        return any(p != (x,) and sum(p) <= x <= sum(p) + room - sum(f) for x in rest for p in parts)
+
+    expect = {f for f in tries if sum(f) <= room and not worse(f)}
+    got = [f for f in packing.fillings(np.bincount(sizes, minlength=room + 1), room) if f is not None]
+    assert len(got) == len(set(got)) and set(got) == expect
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
 def check_packing(rows, capacity):
     seqs = defaultdict(list)
     for r in rows:
@@ -371,6 +397,11 @@ def test_packing_round_trip(spark, monkeypatch):
     assert check_packing(rows, 64) <= -(-sum(k[3] * n for k, n in expect.items()) // 64) + 1
     assert packing.pack_documents(empty(spark)).count() == 0
 
+def test_bound_beside_the_sequences(spark):
+    cut = packing.pieces(awkward(spark), capacity=64)
+    found = packing.bounds(cut, capacity=64).first()
+    assert found.lower_bound <= found.sequences == packing.pack(cut, capacity=64).select("sequence_id").distinct().count()
+
 
 # -- 7 pages -------------------------------------------------------------
 
