@@ -424,6 +424,22 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def by_id(spark, rows):
+    return {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_text_of_sibling_containers_and_lists(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    rows = [(i, "http://a.example/", f"<body><div class=post><div class=intro><p>Intro {i} here.</p></div><div class=body><p>{w}</p></div></div><div class=low><p>Contact us</p></div></body>") for i, w in enumerate(words)]
+    rows += [(100 + i, "http://b.example/", f"<body><div class=post><p>Before {i}.</p><ul><li>{w}</li></ul><p>After {i}.</p></div></body>") for i, w in enumerate(words)]
+    rows += [(200 + i, "http://c.example/", f"<body><div class=one><p>{w}</p></div><div class=two><p>Note {i}.</p></div></body>" if i % 2 else f"<body><div class=two><p>{w}</p></div></body>") for i, w in enumerate(words)]
+    got = by_id(spark, rows)
+    for i, w in enumerate(words):
+        assert got[i] == f"Intro {i} here.\n{w}"
+        assert got[100 + i] == f"Before {i}.\n{w}\nAfter {i}."
+        assert got[200 + i] == (f"{w}\nNote {i}." if i % 2 else w)
+
+
 def test_copied_pages_are_no_template(spark):
     same = HEAD.format(i=1) + "<article><h1>Copied</h1><p>Copied text.</p></article>" + FOOT.format(i=1)
     df = spark.createDataFrame([(i, "http://a.example/x", same) for i in range(40)], "page_id long, url string, html string")
