@@ -440,6 +440,44 @@ def test_text_of_sibling_containers_and_lists(spark):
         assert got[200 + i] == (f"{w}\nNote {i}." if i % 2 else w)
 
 
+def test_recurring_lines_of_the_article_stay(spark):
+    long = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    inside = "<h2>Ingredients</h2><ul><li>Salt</li><li>Salt again</li></ul><p>{w}</p><p>That was all</p><h2>Summary</h2><p>In short {i}.</p>"
+    rows = [(i, "http://a.example/", f"<body><p>Welcome here</p><article>{inside.format(i=i, w=w)}</article></body>") for i, w in enumerate(long)]
+    low = "<div class=low><p>Contact us</p><p>About us</p></div>"
+    rows += [(100 + i, "http://b.example/", f"<body><div class=top><h3>Our site</h3><p>Welcome here</p></div><div class=post>{inside.format(i=i, w=w)}<p>Read the next one</p></div>{low}</body>") for i, w in enumerate(long)]
+    got = by_id(spark, rows)
+    for i, w in enumerate(long):
+        assert got[i] == got[100 + i] == f"Ingredients\nSalt\nSalt again\n{w}\nThat was all\nSummary\nIn short {i}."
+
+
+def test_lines_that_move_are_no_template(spark):
+    moved = [("Sun and rain", "Wind and snow"), ("Wind and snow", "Sun and rain")]
+    rows = [(i, "http://a.example/", "<body><div class=x><p>{}</p><p>{}</p></div><div class=low><p>Contact us</p></div></body>".format(*moved[i % 2]) + f"<!-- {i} -->") for i in range(20)]
+    got = by_id(spark, rows)
+    assert all(got[i] == "\n".join(moved[i % 2]) for i in range(20))
+
+
+def test_copies_do_not_cancel(spark):
+    """With vectors that cancel, lines on different pages would look alike where each page comes twice."""
+    page = "<body><div class=x><p>Story {} of many</p></div><div class=low><p>Contact us</p><p>{}</p></div></body>"
+    rows = [(2 * i + j, "http://a.example/", page.format(i, "Late night" if i % 10 else "Other")) for i in range(20) for j in range(2)]
+    stats = pages._stats(iter([_page_batch(rows)]))
+    held = {(r["host"], r["token"]): (r["low"], r["high"], r["pages"]) for b in stats for r in b.to_pylist() if not r["host_row"]}
+    late = [t for b in pages.blocks(rows[2][2])[0] if b.text == "Late night" for t in pages._text_tokens(b)]
+    always = [t for b in pages.blocks(rows[2][2])[0] if b.text == "Contact us" for t in pages._text_tokens(b)]
+    assert all(held["a.example", t][:2] != (0, 0) for t in late + always)
+    assert held["a.example", late[0]] == held["a.example", late[1]] != held["a.example", always[0]]
+
+
+def _page_batch(rows):
+    import pyarrow as pa
+    import xxhash
+
+    keys = [xxhash.xxh64_intdigest(h) >> 1 for *_, h in rows]
+    return pa.record_batch({"page_key": keys, "url": [r[1] for r in rows], "html": [r[2] for r in rows]})
+
+
 def test_copied_pages_are_no_template(spark):
     same = HEAD.format(i=1) + "<article><h1>Copied</h1><p>Copied text.</p></article>" + FOOT.format(i=1)
     df = spark.createDataFrame([(i, "http://a.example/x", same) for i in range(40)], "page_id long, url string, html string")
