@@ -8,7 +8,10 @@ is then indexed: it goes to the leaf it descends to.
 Search: a query keeps a priority queue of subtrees by distance to their centre,
 opens the nearest, and lists the leaves it reaches in that order. How many
 leaves it visits is calibrated: sampled vectors are used as queries against
-brute force over the sample, and visits are doubled until ``recall`` is met.
+brute force over the sample, and visits are doubled until ``recall`` is met. A
+query goes on past that number until the leaves it has visited hold ``k`` vectors
+besides its own and ``GROUP`` in all, or none are left, so it gets ``k`` rows
+wherever the table has them.
 
 Leaves are dealt to buckets of about ``BUCKET`` vectors; a leaf with more than
 ``GROUP`` vectors is cut into salted units that go to different buckets. A query
@@ -22,8 +25,7 @@ compared once.
 Defined results: vectors that are null, zero, of another width than the first
 sampled, or hold null or non-finite components take no part, nor do null ids;
 of rows with the same id and vector one counts; a query with fewer than ``k``
-candidates within reach gets all of them if the table has at most ``GROUP``
-distinct vectors (all leaves are then visited); an empty table gives no rows.
+candidates in the table gets all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,14 +106,15 @@ class Tree:
             todo = np.concatenate(more) if more else np.empty(0, np.int64)
         return at
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves by best-bin-first traversal."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < leaves:
+    def visit(self, q: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves by best-bin-first traversal, and more until ``least`` vectors stand in them."""
+        heap, out, held = [(0.0, 0)], [], 0
+        while heap and (len(out) < leaves or held < least):
             _, n = heapq.heappop(heap)
             ch = self.children[n]
             if not ch:
                 out.append(n)
+                held += sizes.get(n, 0) if sizes else 0
                 continue
             d = ((self.blocks[n] - q) ** 2).sum(1)
             for c, v in zip(ch, d.tolist(), strict=True):
@@ -177,15 +180,15 @@ def _dealt(buckets):
     return run
 
 
-def _visits(tree, visits, salts, buckets, blocks):
+def _visits(tree, visits, sizes, least, group, buckets, blocks):
     """Queries, once for each bucket that holds units they visit."""
 
     def run(batches):
-        t, many = tree.value, salts.value
+        t, held = tree.value, sizes.value
         for b in batches:
             rows, at, units = [], [], []
             for i, q in enumerate(_rows(b.column("v")) if b.num_rows else ()):
-                mine = np.array([(leaf << SALT_BITS) + s for leaf in t.visit(q, visits) for s in range(many.get(leaf, 0))], np.int64)
+                mine = np.array([(leaf << SALT_BITS) + s for leaf in t.visit(q, visits, held, least) for s in range(-(-held.get(leaf, 0) // group))], np.int64)
                 where = _bucket(mine, buckets)
                 for k in np.unique(where):
                     rows.append(i)
@@ -272,13 +275,11 @@ def search(df: DataFrame, queries, *, k=10, id_col="vec_id", vec_col="embedding"
     placed = materialise(vectors.mapInArrow(_index(held), "v array<double>, ids array<long>, leaf long"), "vectors")
     sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # leaves are bounded by the sample
     total = sum(sizes.values())
-    if total <= GROUP:
-        visits = tree.leaves
     salts = {leaf: -(-n // GROUP) for leaf, n in sizes.items()}
     buckets = max(1, -(-total // BUCKET))
     asked = every.filter(queries).distinct().select(F.col("vec_id").alias("query_id"), "v")
     blocks = max(1, -(-asked.count() // QUERIES))
-    left = asked.mapInArrow(_visits(held, visits, spark.sparkContext.broadcast(salts), buckets, blocks), "bucket long, block long, query_id long, v array<double>, units array<long>")
+    left = asked.mapInArrow(_visits(held, visits, spark.sparkContext.broadcast(sizes), max(k + 1, GROUP), GROUP, buckets, blocks), "bucket long, block long, query_id long, v array<double>, units array<long>")
     many = F.broadcast(spark.createDataFrame(list(salts.items()), "leaf long, salts long"))
     right = placed.join(many, "leaf").withColumn("salt", F.pmod(F.xxhash64("v"), "salts"))
     right = right.select(F.expr(f"shiftleft(leaf, {SALT_BITS}) + salt").alias("unit"), "v", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))

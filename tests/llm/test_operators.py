@@ -628,3 +628,16 @@ def test_neighbours_recall(spark, monkeypatch):
     rows = [(i, np.float32(v).astype(float).tolist()) for i, v in rows]
     expect = brute_neighbours(rows, 10, 100)
     assert np.mean([len(got[q] & {i for _, i in v}) / 10 for q, v in expect.items()]) >= 0.9
+
+
+def test_outlying_queries_get_all_their_rows(spark, monkeypatch):
+    """Where one visit is enough for nearly all queries, single vectors far from all others have leaves of their own."""
+    monkeypatch.setattr(ann, "GROUP", 2)
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(12, 8)) * 100)[np.arange(1200) % 12] + rng.normal(size=(1200, 8)) * 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, (rng.normal(size=8) * 5_000).tolist()) for i in range(6)]
+    from pyspark.sql import functions as F
+
+    got = Counter(r.query_id for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 10_000).collect())
+    assert got == {10_000 + i: 10 for i in range(6)}
