@@ -16,8 +16,10 @@ wherever the table has them.
 Leaves are dealt to buckets of about ``BUCKET`` vectors; a leaf with more than
 ``GROUP`` vectors is cut into salted units that go to different buckets. A query
 is sent once to each bucket that holds units it visits, with their list; there,
-blocks of queries and of a unit's vectors are multiplied, and the bucket gives
-each query at most ``k`` rows. Very many queries are cut into blocks too. Equal
+blocks of queries and of a unit's vectors are multiplied; every vector whose
+product is within rounding of the ``k + 1`` smallest is compared by its exact
+distance, ties at the last place by their ids, and the bucket gives each query at
+most ``k`` rows. Very many queries are cut into blocks too. Equal
 vectors are first put together with their ``k + 1`` smallest ids, which is exact
 as ties go to the smaller id, so a vector that a third of all rows share is
 compared once.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from evidencelake.llm.common import materialise, pick
 
 SAMPLE, BRANCH, LEAF, RECALL, GROUP = 8192, 16, 64, 0.97, 2048
-BUCKET, QUERIES, SLACK = 16_384, 20_000, 8
+BUCKET, QUERIES = 16_384, 20_000
 SALT_BITS = 24
 
 
@@ -218,7 +220,8 @@ def _compare(k):
         for i, us in enumerate(lists):
             for u in us:
                 asks.setdefault(u, []).append(i)
-        keep = k + SLACK
+        firsts = np.array([v[0] for v in ids], np.int64)
+        norms = (x**2).sum(1)
         order = np.argsort(unit, kind="stable")
         found: list[list] = [[] for _ in lists]
         bounds = np.flatnonzero(np.diff(unit[order], prepend=-1))
@@ -227,9 +230,15 @@ def _compare(k):
             if not who:
                 continue
             rows = order[lo:hi]
-            near = (x[rows] ** 2).sum(1)[None] - 2 * q[who] @ x[rows].T
-            best = np.argpartition(near, keep, axis=1)[:, :keep] if len(rows) > keep else np.broadcast_to(np.arange(len(rows)), near.shape)
-            for w, cols in zip(who, best, strict=True):
+            if len(rows) <= k + 1:
+                for w in who:
+                    found[w].append(rows)
+                continue
+            near = norms[rows][None] - 2 * q[who] @ x[rows].T
+            # k vectors besides the query's own, and what rounding, of the root too, can't tell from the last of them
+            off = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (np.sqrt((q[who] ** 2).sum(1)) + np.sqrt(norms[rows].max())) ** 2
+            among = ~(near > (np.partition(near, k, axis=1)[:, k] + off)[:, None])  # what overflows is compared too
+            for w, cols in zip(who, among, strict=True):
                 found[w].append(rows[cols])
         qs = left.column("query_id").to_numpy()
         out: tuple[list, list, list] = ([], [], [])
@@ -238,9 +247,11 @@ def _compare(k):
                 continue
             rows = np.concatenate(parts)
             d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
-            if len(rows) > keep:
-                near = np.argpartition(d, keep)[:keep]
-                rows, d = rows[near], d[near]
+            if len(rows) > k + 1:
+                last = np.partition(d, k)[k]
+                tied = np.unique(firsts[rows[d == last]])
+                stay = (d < last) | ((d == last) & (firsts[rows] <= tied[min(k, len(tied) - 1)]))
+                rows, d = rows[stay], d[stay]
             mine = sorted((dist, v) for r, dist in zip(rows.tolist(), d.tolist(), strict=True) for v in ids[r] if v != qs[i])[:k]
             out[0].extend([qs[i]] * len(mine))
             out[1].extend(v for _, v in mine)

@@ -641,3 +641,17 @@ def test_outlying_queries_get_all_their_rows(spark, monkeypatch):
 
     got = Counter(r.query_id for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 10_000).collect())
     assert got == {10_000 + i: 10 for i in range(6)}
+
+
+def test_neighbours_many_ties(spark):
+    """Far more vectors than k at one distance, and small differences far from the origin."""
+    from pyspark.sql import functions as F
+
+    one_hot = [(997 * i % 64 + 1, np.eye(64)[i].tolist()) for i in range(64)]
+    rng = np.random.default_rng(10)
+    far = [(i, v.tolist()) for i, v in enumerate(1e8 + rng.integers(0, 40, (300, 4)) * 0.25)]
+    for rows in (one_hot, far):
+        got = defaultdict(list)
+        for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.score, r.vec_id))
+        assert got == brute_neighbours(rows, 10, 5)
