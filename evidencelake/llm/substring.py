@@ -1,5 +1,9 @@
 """Removal of repeated passages by prefix-partitioned suffix trees over words.
 
+No tree is built: sorted hashes of fixed windows stand in for the subtrees, and
+equal hashes are taken for equal words without comparing these. The terms below
+are those of the trees.
+
 Suffixes start at every word of every document. A word goes if a window of
 ``window`` words that covers it also starts earlier: the leaves below a deep
 internal node (depth ``window`` or more) are the starts of one repeated word
