@@ -72,14 +72,20 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/evl-{uuid.uuid4().hex}/{name}"
+    atexit.register(_at_exit, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evl-{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evl_path = path
-    atexit.register(_at_exit, spark, path)
     return out
 
 

@@ -3,7 +3,8 @@
 The vocabulary drops white space and lower-cases, and its pre-tokens never cross
 white space, so a text's ids are those of its space-separated words in order.
 Ids of words seen are kept: ``CACHE`` words, and as many from before that, which
-move over when met again.
+move over when met again. Words of more than ``LONGEST`` letters are encoded each
+time, so the tables are bounded in bytes too.
 A word of plain Latin letters with closing marks is put together from its
 lower-cased letters and the marks, which the tokenizer also treats apart; a text
 of nothing else is lower-cased and taken apart as a whole.
@@ -19,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE, RUN = 250_000, 256
+CACHE, LONGEST, RUN = 250_000, 64, 256
 #: Latin letters that NFC leaves alone and whose lower case is one letter, then ASCII marks but for the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: What a simple text consists of, in Latin-1: those letters, full stops, commas and plain white space.
@@ -124,4 +125,8 @@ class WordIds:
         self._learn(new.difference(known))
         # a table of this call's words is small enough to stay in the processor's cache
         get = dict(zip(here, map(self.seen.__getitem__, here), strict=True)).__getitem__
+        for w in [w for w in new if len(w) > LONGEST]:
+            m = _PLAIN.fullmatch(w)
+            for x in (w, m[1].lower(), m[2]) if m else (w,):
+                self.seen.pop(x, None)
         return [b"".join(map(get, ws)) for ws in split]

@@ -1,113 +1,134 @@
 """Token counts of documents in flat, unindexed token files, by scanning for the separator.
 
-Method: a flat file is tokens only, little-endian unsigned 32-bit, each document
-ended by a separator id; nothing says where documents begin. Files are cut into
-blocks of ``BLOCK`` tokens that any task can scan: one vectorised comparison
-finds the separators of a block, whose summary is how many there are and where
-the first and the last lie. Documents that cross blocks are stitched by a prefix
-scan over the summaries: a running count gives the number of documents ended
-before a block, a running maximum the position of the last separator before it.
-The scan has two levels (``SUPER`` blocks make one super-block), so a file of any
-size is scanned by many tasks.
+Method: a flat file is tokens only, little-endian unsigned integers of ``width``
+bytes, each document ended by a separator id; nothing says where documents begin.
+Files of any size are cut into ranges of ``BLOCK`` tokens that any task can read
+and scan by itself: one vectorised comparison finds the separators of a range,
+whose summary is how many there are and where the first and the last lie.
+Documents that cross ranges are stitched by a prefix scan over the summaries: a
+running count gives the number of documents ended before a range, a running
+maximum the position of the last separator before it. The scan has two levels
+(``SUPER`` ranges make one super-range), so a file of any size is scanned by many
+tasks.
+
+``write_stream`` makes such files of a table of documents, one for each task, in
+the shared folder. A task names its file after its attempt and returns the ids of
+its documents in the order written; only files named in that table, which Spark
+commits once, are read, so a task that is lost and repeated leaves no trace in
+the counts. Workers open the files through ``pyarrow.fs`` (file, hdfs, s3, gs,
+abfs).
 
 Defined results: documents without tokens count 0; tokens after a file's last
 separator are a document with ``ended`` false; a file without tokens has no
-documents; null and empty texts have no tokens.
+documents; bytes at a file's end that don't fill a token are no token; null and
+empty texts have no tokens; a null id keeps its row; repeated rows are documents
+of their own, so each gets a row; very long texts are counted whole; an empty
+table gives no rows; columns other than those named are not read, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import materialise, pick, slices
+from evidencelake.llm.common import materialise, pick, scratch, slices
 from evidencelake.llm.tokens import word_ids
 
-SEPARATOR = 49407
-BLOCK, SUPER = 16_384, 4096
-#: Parquet looks at a page's size after a hundred rows only, so pages of whole blocks would be large.
-PAGES = {"parquet.page.size.row.check.min": "4", "parquet.block.size": str(16 << 20)}
+#: Ids of the default vocabulary fit two bytes.
+SEPARATOR, WIDTH = 49407, 2
+BLOCK, SUPER = 1 << 18, 4096
+#: Bytes of ranges that one task reads.
+TASK_BYTES = 32 << 20
 
-BLOCKS = "file string, block long, tokens binary"
-STREAM = BLOCKS + ", ordinal long, doc_id long"
+ORDER = "file string, ordinal long, doc_id long"
 SUMMARY = "file string, block long, n long, ended long, first_at long, last_at long, inner array<long>"
 
 
-def _stream(path, separator, block):
+def _write(path, separator, width, folder):
     def run(batches):
-        file = f"part-{TaskContext.get().partitionId():05d}"
-        ids, end, step = word_ids(path), separator.to_bytes(4, "little"), 4 * block
-        held, sent, docs = b"", 0, 0
-
-        def rows(parts, first, doc_ids, ordinal):
-            n, m = len(parts), len(doc_ids)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([file] * (n + m)), pa.array([*range(first, first + n), *[None] * m], pa.int64()), pa.array([*parts, *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *range(ordinal, ordinal + m)], pa.int64()), pa.array([*[None] * n, *doc_ids], pa.int64()),
-                ],
-                names=["file", "block", "tokens", "ordinal", "doc_id"],
-            )
-
-        for b in slices(batches):
-            here = b.column("doc_id").to_pylist()
-            held = end.join([held + (enc := ids.encode(b.column("text").to_pylist()))[0], *enc[1:], b""])
-            whole = len(held) // step
-            yield rows([held[i * step : (i + 1) * step] for i in range(whole)], sent, here, docs)
-            held, sent, docs = held[whole * step :], sent + whole, docs + len(here)
-        if held:
-            yield rows([held], sent, [], docs)
+        task = TaskContext.get()
+        name = f"{task.partitionId():06d}-{task.taskAttemptId()}.tokens"
+        ids, end, docs, out = word_ids(path), separator.to_bytes(4, "little"), 0, None
+        try:
+            for b in slices(batches):
+                if out is None:
+                    store, base = fs.FileSystem.from_uri(folder)
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(f"{base}/{name}")
+                tokens = np.frombuffer(b"".join(x for raw in ids.encode(b.column("text").to_pylist()) for x in (raw, end)), "<u4")
+                if int(tokens.max()) >> 8 * width:
+                    raise ValueError(f"token ids don't fit {width} bytes")
+                out.write(tokens.astype(f"<u{width}").tobytes())
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(docs, docs + n)), b.column("doc_id")], names=["file", "ordinal", "doc_id"])
+                docs += n
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
 
-def write_stream(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer: str | None = None, separator=SEPARATOR, block=BLOCK) -> tuple[DataFrame, DataFrame]:
-    """One flat token stream for each input partition, in blocks, in the shared folder; and (file, ordinal, doc_id)."""
+def write_stream(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer: str | None = None, separator=SEPARATOR, width=WIDTH) -> tuple[str, DataFrame]:
+    """The folder with one flat token file for each input partition that has rows; and (file, ordinal, doc_id)."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    both = materialise(rows.mapInArrow(_stream(tokenizer, separator, block), STREAM), "stream", **PAGES)
-    return both.filter(F.col("block").isNotNull()).select("file", "block", "tokens"), both.filter(F.col("block").isNull()).select("file", "ordinal", "doc_id")
+    sc = docs.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(scratch(docs.sparkSession, "tokens"))
+    folder = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return folder, materialise(rows.mapInArrow(_write(tokenizer, separator, width, folder), ORDER), "order")
 
 
-def _blocks(block):
-    def run(batches):
-        for b in batches:
-            for file, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                raw = data.as_buffer()
-                for i in range(0, len(raw), 4 * block):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([i // (4 * block)], pa.int64()), pa.array([raw[i : i + 4 * block].to_pybytes()], pa.binary())], names=["file", "block", "tokens"])
-
-    return run
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """file (its name), path, size of the flat files in a folder; their content is not read."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", F.col("length").alias("size"))
 
 
-def read_files(spark: SparkSession, path: str, *, block=BLOCK) -> DataFrame:
-    """Flat files (each under 2 GB, Spark's limit for one value) as blocks."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_blocks(block), BLOCKS)
+def ranges(files: DataFrame, *, width=WIDTH, block=BLOCK) -> DataFrame:
+    """file, path, block, at, size: byte ranges of ``block`` tokens, spread over tasks whatever the files' sizes."""
+    step = block * width
+    whole = files.withColumn("size", F.col("size") - F.col("size") % width).filter("size > 0")
+    cut = whole.withColumn("block", F.explode(F.expr(f"sequence(0L, (size - 1) div {step})"))).withColumn("at", F.col("block") * step)
+    total = whole.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return cut.select("file", "path", "block", "at", F.least(F.lit(step), F.col("size") - F.col("at")).alias("size")).repartition(max(1, -(-total // TASK_BYTES)), "file", "block")
 
 
-def _summaries(separator):
+def _summaries(separator, width):
     def run(batches):
+        held: dict[str, object] = {}
         for b in batches:
-            for file, block, data in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("tokens"), strict=True):
-                tokens = np.frombuffer(data.as_buffer(), "<u4")
-                at = np.flatnonzero(tokens == separator)
+            for file, path, block, at, size in zip(*(b.column(c).to_pylist() for c in ("file", "path", "block", "at", "size")), strict=True):
+                if path not in held:
+                    for old in held.values():
+                        old.close()
+                    store, name = fs.FileSystem.from_uri(path)
+                    held = {path: store.open_input_file(name)}
+                tokens = np.frombuffer(held[path].read_at(size, at), f"<u{width}")
+                if len(tokens) * width != size:
+                    raise OSError(f"{path} is shorter than listed")
+                found = np.flatnonzero(tokens == separator)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([file]), pa.array([block], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([len(at)], pa.int64()),
-                        pa.array([at[0] if len(at) else None], pa.int64()), pa.array([at[-1] if len(at) else None], pa.int64()),
-                        pa.array([np.diff(at) - 1], pa.list_(pa.int64())),
+                        pa.array([file]), pa.array([block], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([len(found)], pa.int64()),
+                        pa.array([found[0] if len(found) else None], pa.int64()), pa.array([found[-1] if len(found) else None], pa.int64()),
+                        pa.array([np.diff(found) - 1], pa.list_(pa.int64())),
                     ],
                     names=["file", "block", "n", "ended", "first_at", "last_at", "inner"],
                 )
+        for old in held.values():
+            old.close()
 
     return run
 
 
-def count_tokens(blocks: DataFrame, *, separator=SEPARATOR) -> DataFrame:
-    """file, ordinal (0-based, in file order), n_tokens, ended. Blocks of a file are numbered from 0, without gaps."""
-    s = materialise(blocks.mapInArrow(_summaries(separator), SUMMARY), "summaries").withColumn("super", F.floor(F.col("block") / SUPER))
+def count_tokens(files: DataFrame, *, separator=SEPARATOR, width=WIDTH, block=BLOCK) -> DataFrame:
+    """file, ordinal (0-based, in file order), n_tokens, ended for ``files`` (file, path, size) of tokens alone."""
+    s = materialise(ranges(files, width=width, block=block).mapInArrow(_summaries(separator, width), SUMMARY), "summaries").withColumn("super", F.floor(F.col("block") / SUPER))
     # level 1: where each super-block begins; its last separator, from its own start
     inside = Window.partitionBy("file", "super").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0)))
@@ -129,7 +150,11 @@ def count_tokens(blocks: DataFrame, *, separator=SEPARATOR) -> DataFrame:
     return docs.unionByName(rest)
 
 
-def count_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer: str | None = None, separator=SEPARATOR) -> DataFrame:
-    """doc_id, file, ordinal, n_tokens: write the documents' token stream, scan it, name the counts by the order written."""
-    blocks, order = write_stream(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, separator=separator)
-    return order.join(count_tokens(blocks, separator=separator).drop("ended"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
+def count_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer: str | None = None, separator=SEPARATOR, width=WIDTH) -> DataFrame:
+    """doc_id, file, ordinal, n_tokens: write the documents' flat files, scan them, name the counts by the order written."""
+    folder, order = write_stream(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, separator=separator, width=width)
+    spark = docs.sparkSession
+    if order.isEmpty():  # no task had rows, so there is no folder
+        return spark.createDataFrame([], "doc_id long, file string, ordinal long, n_tokens long")
+    files = list_files(spark, folder).join(order.select("file").distinct(), "file", "left_semi")
+    return order.join(count_tokens(files, separator=separator, width=width).drop("ended"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")

@@ -253,24 +253,58 @@ def test_rotation_over_chunks(spark):
 # -- 5 token counts ------------------------------------------------------
 
 
-def test_separator_scan_round_trip(spark, monkeypatch, tmp_path):
+def expected_counts(t, separator):
+    at = np.flatnonzero(t == separator)
+    out = {i: (int(n), True) for i, n in enumerate(np.diff(at, prepend=-1) - 1)}
+    rest = len(t) - 1 - (at[-1] if len(at) else -1)
+    return {**out, len(at): (int(rest), False)} if rest else out
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_separator_scan_round_trip(spark, monkeypatch, tmp_path, width):
+    """Flat files of tokens alone, scanned in ranges far smaller than documents."""
     monkeypatch.setattr(tokenscan, "SUPER", 3)
     rng = np.random.default_rng(2)
-    for f in range(3):
-        t = np.where(rng.random(1000) < (0.0, 0.01, 0.4)[f], 9, 1).astype("<u4")
-        t.tofile(tmp_path / f"f{f}.bin")
+    for f in range(4):
+        t = np.where(rng.random(1000) < (0.0, 0.01, 0.4, 0.1)[f], 9, 1).astype(f"<u{width}")
+        (tmp_path / f"f{f}.bin").write_bytes(t.tobytes() + b"\x09" * (f == 3))
     (tmp_path / "empty.bin").write_bytes(b"")
     got = defaultdict(dict)
-    for r in tokenscan.count_tokens(tokenscan.read_files(spark, str(tmp_path), block=16), separator=9).collect():
-        got[r.file[-6:]][r.ordinal] = (r.n_tokens, r.ended)
-    for f in range(3):
-        t = np.fromfile(tmp_path / f"f{f}.bin", "<u4")
-        at = np.flatnonzero(t == 9)
-        expect = {i: (int(n), True) for i, n in enumerate(np.diff(at, prepend=-1) - 1)}
-        rest = len(t) - 1 - (at[-1] if len(at) else -1)
-        if rest:
-            expect[len(at)] = (int(rest), False)
-        assert got[f"f{f}.bin"] == expect
+    for r in tokenscan.count_tokens(tokenscan.list_files(spark, str(tmp_path)), separator=9, width=width, block=16).collect():
+        got[r.file][r.ordinal] = (r.n_tokens, r.ended)
+    assert "empty.bin" not in got
+    for f in range(4):
+        raw = (tmp_path / f"f{f}.bin").read_bytes()
+        assert got[f"f{f}.bin"] == expected_counts(np.frombuffer(raw[: len(raw) // width * width], f"<u{width}"), 9)
+
+
+def test_scan_of_a_file_over_two_gigabytes(spark, tmp_path):
+    ends = [0, 5, (1 << 18) - 1, 1 << 18, (1 << 30) + 77, (1 << 30) + 99]
+    with open(tmp_path / "big.bin", "wb") as f:  # sparse: zeros but for the separators
+        for e in ends:
+            f.seek(2 * e)
+            f.write((9).to_bytes(2, "little"))
+        f.truncate(2 * ((1 << 30) + 200))
+    got = {r.ordinal: (r.n_tokens, r.ended) for r in tokenscan.count_tokens(tokenscan.list_files(spark, str(tmp_path)), separator=9).collect()}
+    assert got == {**{i: (int(n), True) for i, n in enumerate(np.diff(ends, prepend=-1) - 1)}, len(ends): (100, False)}
+
+
+def test_token_files_are_flat(spark):
+    """What is written is each document's ids and the separator, and nothing else."""
+    from pathlib import Path
+
+    d = spark.createDataFrame([x for x in AWKWARD if x[0] != 7], DOCS).repartition(2)
+    folder, order = tokenscan.write_stream(d)
+    t = tokens.WordIds().tokenizer
+    text = Counter(tuple(t.encode(x or "", add_special_tokens=False).ids) for i, x in AWKWARD if i != 7)
+    found = Counter()
+    for f in Path(folder.removeprefix("file:")).glob("*.tokens"):
+        raw = np.fromfile(f, "<u2")
+        assert raw[-1] == tokenscan.SEPARATOR
+        found.update(tuple(x[:-1].tolist()) for x in np.split(raw, np.flatnonzero(raw == tokenscan.SEPARATOR) + 1)[:-1])
+    assert found == text and order.count() == len(AWKWARD) - 1
+    with pytest.raises(Exception, match="don't fit 1 bytes"):
+        tokenscan.write_stream(d, width=1, separator=255)
 
 
 def test_token_counts(spark):
