@@ -69,8 +69,8 @@ FACTS = f"""facts AS (
 CURRENT = (
     FACTS
     + """,
-cur AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cik, taxonomy, tag, unit, period_start, period_end
-  ORDER BY filed DESC, accn DESC, val DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM facts) WHERE rn = 1)"""
+cur AS (SELECT DISTINCT ON (cik, taxonomy, tag, unit, period_start, period_end) * FROM facts
+  ORDER BY filed DESC, accn DESC, val DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC)"""
 )
 
 
@@ -82,25 +82,28 @@ def _sql_rows(rows) -> str:
 _TAGS = _sql_rows([(m.name, m.label, m.kind, m.unit, m.period_type, m.resolve_by, t, i) for m in METRICS for i, t in enumerate(m.tags)])
 _REGISTRY = _sql_rows([(m.name, m.label, m.unit, ", ".join(m.tags), m.derive or None, m.universal) for m in METRICS])
 
+# Ranks are counted, not numbered by a window: a tag's is one more than the tags of its metric that go before it.
 RESOLVED = (
     CURRENT
     + f""",
 tagt AS (SELECT * FROM (VALUES {_TAGS}) AS t(metric, label, kind, unit, period_type, resolve_by, tag, priority)),
 reg AS (SELECT * FROM (VALUES {_REGISTRY}) AS t(metric, label, unit, tags, derive, universal)),
-cand AS (SELECT cik, ticker, metric, tag, priority, resolve_by, count(*) AS n_facts, min(period_end) AS first_period, max(period_end) AS last_period
-  FROM cur JOIN tagt USING (tag, unit, period_type) WHERE span <> 'other' GROUP BY ALL),
-res AS (SELECT * EXCLUDE (resolve_by), CAST(row_number() OVER (PARTITION BY cik, metric
-  ORDER BY CASE WHEN resolve_by = 'priority' THEN priority END NULLS LAST, n_facts DESC, priority, tag) AS INTEGER) AS resolution_rank FROM cand),
-mf AS (SELECT * EXCLUDE (rn) FROM (SELECT cur.*, res.metric, reg.label, res.resolution_rank,
-    row_number() OVER (PARTITION BY cur.cik, res.metric, span, period_start, period_end ORDER BY resolution_rank) AS rn
-  FROM cur JOIN res ON cur.cik = res.cik AND cur.tag = res.tag JOIN reg ON reg.metric = res.metric WHERE cur.unit = reg.unit AND span <> 'other') WHERE rn = 1),
-fy AS (SELECT DISTINCT cik, period_end AS fiscal_end, period_start AS fiscal_start FROM mf WHERE span = 'FY')"""
+use AS (SELECT c.*, t.metric, t.label, t.priority, t.resolve_by FROM tagt t JOIN cur c ON (c.tag, c.unit, c.period_type) = (t.tag, t.unit, t.period_type) AND c.span <> 'other'),
+cand AS (SELECT cik, any_value(ticker) AS ticker, metric, tag, priority, count(val) AS n_facts, min(period_end) AS first_period, max(period_end) AS last_period,
+    row(if(any_value(resolve_by) = 'priority', priority, 0), -count(val), priority, tag) AS place FROM use GROUP BY cik, metric, tag, priority),
+res AS (SELECT * EXCLUDE (place), CAST(1 + (SELECT count(*) FROM cand o WHERE o.cik = cand.cik AND o.metric = cand.metric AND o.place < cand.place) AS INTEGER) AS resolution_rank FROM cand),
+mu AS (SELECT cur.*, res.metric, reg.label, res.resolution_rank FROM res JOIN reg USING (metric) JOIN cur ON (cur.cik, cur.tag, cur.unit) = (res.cik, res.tag, reg.unit) AND cur.span <> 'other'),
+mf AS (SELECT mu.* FROM mu WHERE NOT EXISTS (SELECT 1 FROM mu o WHERE o.cik = mu.cik AND o.metric = mu.metric AND o.span = mu.span AND o.period_end = mu.period_end
+    AND o.period_start IS NOT DISTINCT FROM mu.period_start AND o.resolution_rank < mu.resolution_rank)),
+fy AS (SELECT cik, period_end AS fiscal_end, period_start AS fiscal_start FROM mf GROUP BY ALL HAVING bool_or(span = 'FY'))"""
 )
 
-_COLUMNS = ", ".join(f"max(val) FILTER (WHERE metric = '{m.name}' AND span = '{'instant' if m.kind == 'stock' else 'FY'}') AS {m.name}" for m in METRICS if m.tags)
+_NAMED = ", ".join(f"'{m.name}'" for m in METRICS if m.tags)
+_STOCKS = ", ".join(f"'{m.name}'" for m in METRICS if m.kind == "stock")
 WIDE = RESOLVED + f""",
-wide AS (SELECT mf.cik, mf.ticker, fiscal_end AS period_end, fiscal_start AS period_start, {_COLUMNS}
-  FROM mf JOIN fy ON fy.cik = mf.cik AND fy.fiscal_end = mf.period_end GROUP BY ALL)"""
+yearly AS (SELECT fy.cik, ticker, fiscal_end AS period_end, fiscal_start AS period_start, if(span = if(metric IN ({_STOCKS}), 'instant', 'FY'), metric, NULL) AS metric, val
+  FROM fy JOIN mf ON mf.cik = fy.cik AND mf.period_end = fiscal_end),
+wide AS (FROM (PIVOT yearly ON metric IN ({_NAMED}) USING max(val) GROUP BY cik, ticker, period_end, period_start))"""
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
