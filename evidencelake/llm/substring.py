@@ -1,14 +1,16 @@
 """Removal of repeated passages by prefix-partitioned suffix trees over words.
 
-No tree is built: sorted hashes of fixed windows stand in for the subtrees, and
-equal hashes are taken for equal words without comparing these. The terms below
-are those of the trees.
-
 Suffixes start at every word of every document. A word goes if a window of
 ``window`` words that covers it also starts earlier: the leaves below a deep
 internal node (depth ``window`` or more) are the starts of one repeated word
 sequence, and all but the earliest leaf mark their window for removal.
 
+A tree (``Subtree``) is its leaves in sorted order with the length of the prefix
+each shares with the one before: an internal node is a run of neighbours that
+share so many words, so nodes of depth ``window`` or more are read off that
+array. Words are numbered exactly, suffixes are sorted by doubling (ranks of 1, 2,
+4, ... words), and no hash decides what is equal.
+
 Three rounds, each a shuffle of packed arrays (one row per task and group):
 
 1. Prefix counts. Of every window's suffixes only one is looked at, the one
@@ -19,21 +21,26 @@ Three rounds, each a shuffle of packed arrays (one row per task and group):
 2. Groups. The remaining windows are split by a prefix of variable length: the
    ``PREFIX``-word prefix picked in round 1 while its group is small, the whole
    window where more than ``HEAVY`` suffixes share that prefix. Equal windows
-   meet in the same group either way.
-3. Subtrees. A task sorts the leaves of its groups by the path hash at depth
-   ``window``; equal neighbours are the leaves of one deep internal node.
-
-Hot sequences are reduced before they are moved: a task sends a prefix or a
-window once, with its count, however many of its documents hold it, and removes
-its own later copies itself. Groups are sized by ``group_bytes`` of text, so memory
+   meet in the same group either way. Neighbouring windows of a group go as one
+   segment of words.
+3. Subtrees. A task builds the tree of its group's suffixes; what its deep nodes
+   hold besides the earliest leaf is marked. A repeat longer than a segment is
+   the union of the windows that its segments' nodes mark.
+
+Hot sequences are reduced before they are moved: a task sends a prefix once,
+with its count, however many of its documents hold it; and in round 2 it builds
+the trees of its own documents first, marks their later copies and sends what is
+left. Groups are sized by ``group_bytes`` of text, so memory
 does not depend on the input; on executors with more memory a larger value keeps
 the packed rows long on very large inputs. The list of heavy prefixes is broadcast; it
 has at most ``HEAVY_MOST`` entries, as the limit rises with the corpus.
 
 Documents are ordered by (doc_id, hash of the text), null ids last; repeated rows
 of one id and text are one document and get the same result each. Null, empty
-and short texts have no window and stay as they are; an empty table gives no
-rows; columns other than those named are not read. Path hashes have 64 bits.
+and short texts have no window and stay as they are; texts of any length are
+read whole; an empty table gives no rows; columns other than those named are not
+read. Hashes (64 bits) of prefixes and windows only say where suffixes meet: a
+collision adds a comparison and changes no result.
 """
 
 from __future__ import annotations
@@ -54,14 +61,16 @@ WINDOW, PREFIX = 20, 6
 GROUP_BYTES = 16 << 20
 HEAVY, HEAVY_MOST = 4096, 100_000
 FLUSH = 24 << 20
+#: Words of a shelf's documents that go into one tree before anything is sent.
+TREE_WORDS = 1 << 20
 
 _NULL_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: packed rows: docs, keys and counts say whose the entries are, in order
-PACKED = "grp int, kind int, docs binary, keys binary, counts binary, at binary, hashes binary, extra binary"
-_FIELDS = ("docs", "keys", "counts", "at", "hashes", "extra")
-_TYPES = {"docs": "<i8", "keys": "<i8", "counts": "<u4", "at": "<u4", "hashes": "<u8", "extra": "<u4"}
+PACKED = "grp int, kind int, docs binary, keys binary, counts binary, at binary, hashes binary, extra binary, words binary"
+_FIELDS = ("docs", "keys", "counts", "at", "hashes", "extra", "words")
+_TYPES = {"docs": "<i8", "keys": "<i8", "counts": "<u4", "at": "<u4", "hashes": "<u8", "extra": "<u4", "words": "u1"}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -88,7 +97,8 @@ class Laid:
         split = [t.encode().split() if t else [] for t in texts]
         self.counts = np.array([len(w) for w in split], np.int64)
         self.firsts = np.cumsum(self.counts) - self.counts
-        h = word_hashes([w for ws in split for w in ws])
+        self.words = [w for ws in split for w in ws]
+        h = word_hashes(self.words)
         owner = np.repeat(np.arange(len(split)), self.counts)
         n = len(h) - window + 1
         if n <= 0:
@@ -116,7 +126,7 @@ def _rows(grp: np.ndarray, kind: int, docs: np.ndarray, keys: np.ndarray, at: np
         new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))))
         yield (
             int(grp[i[0]]), kind, d[new].astype("<i8").tobytes(), k[new].astype("<i8").tobytes(), np.diff(np.append(new, len(i))).astype("<u4").tobytes(),
-            at[i].astype("<u4").tobytes(), hashes[i].astype("<u8").tobytes() if hashes is not None else b"", extra[i].astype("<u4").tobytes() if extra is not None else b"",
+            at[i].astype("<u4").tobytes(), hashes[i].astype("<u8").tobytes() if hashes is not None else b"", extra[i].astype("<u4").tobytes() if extra is not None else b"", b"",
         )
 
 
@@ -138,7 +148,7 @@ def _unpack(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     """All entries of a kind, with the document of each."""
     rows = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == kind]
     got = {}
-    for f in _FIELDS:
+    for f in _FIELDS[:-1]:
         col = table.column(f)
         got[f] = np.concatenate([np.frombuffer(col[i].as_buffer(), _TYPES[f]) for i in rows]) if rows else np.empty(0, _TYPES[f])
     counts = got.pop("counts")
@@ -208,7 +218,7 @@ def _share_prefixes(heavy, shelves):
             if len(i):
                 out += _rows(_shelf(x["docs"][i], x["keys"][i], shelves), 1, x["docs"][i], x["keys"][i], x["at"][i])
             if (total > heavy).any():
-                out.append((0, 2, b"", b"", b"", b"", s[new[total > heavy]].astype("<u8").tobytes(), b""))
+                out.append((0, 2, b"", b"", b"", b"", s[new[total > heavy]].astype("<u8").tobytes(), b"", b""))
         return pa.concat_tables([_table(out), table.filter(pc.equal(table.column("kind"), 1)).cast(_PACKED_ARROW)])
 
     return run
@@ -280,20 +290,113 @@ def _ordinal(docs: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank << np.uint64(32) | at.astype(np.uint64)
 
 
-def _later(paths: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
-    """Leaves of deep nodes that aren't their node's earliest one."""
-    order = np.lexsort((ordinal, paths))
-    p, o = paths[order], ordinal[order]
-    new = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.empty(0, bool)
-    earliest = np.repeat(o[new], np.diff(np.append(np.flatnonzero(new), len(p))))
-    later = np.zeros(len(p), bool)
-    later[order] = o != earliest  # the same place of a repeated row is not later
-    return later
+class Subtree:
+    """The suffix tree of the first ``leaves[i]`` suffixes of each segment of words, as sorted leaves and shared lengths.
+
+    ``order`` has the leaves (numbered through the segments) as they sort,
+    ``shared`` how many words each has in common with the one before it, up to
+    the next power of two above ``window``, less one.
+    """
+
+    def __init__(self, segments: list[list[bytes]], leaves: np.ndarray, window: int):
+        n = np.array([len(s) for s in segments], np.int64)
+        names: dict[bytes, int] = {}
+        number = names.setdefault
+        words = np.fromiter((number(w, len(names)) for s in segments for w in s), np.int64, int(n.sum()))
+        # a mark of its own ends each segment, so nothing is shared beyond it
+        first = np.cumsum(n + 1) - (n + 1)
+        top = 1 << window.bit_length() - 1
+        ids = np.full(int(n.sum()) + len(n) + 2 * top, len(names) + len(n), np.int64)
+        ids[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
+        ids[first + n] = len(names) + np.arange(len(n))
+        ranks, k = {1: ids.astype(np.int32)}, 1
+        while k < top:
+            r = ranks[k].astype(np.int64)
+            ranks[2 * k] = np.unique(r[:-k] * (r.max() + 1) + r[k:], return_inverse=True)[1].astype(np.int32)
+            k *= 2
+        count = np.asarray(leaves, np.int64)
+        at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        head = ranks[top]
+        self.order = np.lexsort((head[at + top - 1], head[at]))
+        a, b = at[self.order[:-1]], at[self.order[1:]]
+        depth = np.zeros(len(a), np.int64)
+        while k:
+            r = ranks[k]
+            depth += k * (r[a + depth] == r[b + depth])
+            k //= 2
+        self.shared = np.concatenate(([0], depth)) if len(at) else depth
+        self.window = window
+
+    def nodes(self) -> list[tuple[int, int, int]]:
+        """(depth, first leaf in order, last) of the internal nodes of depth ``window`` or more, parents after their children."""
+        out, held = [], []
+        for i, d in enumerate([*self.shared.tolist(), 0]):
+            low = i - 1
+            while held and held[-1][0] > d:
+                depth, low = held.pop()
+                out.append((depth, low, i - 1))
+            if d >= self.window and (not held or held[-1][0] < d):
+                held.append((d, low))
+        return out
+
+    def later(self, ordinal: np.ndarray) -> np.ndarray:
+        """Leaves below deep nodes that aren't their node's earliest ones."""
+        new = np.flatnonzero(self.shared < self.window)
+        o = ordinal[self.order]
+        earliest = np.repeat(np.minimum.reduceat(o, new), np.diff(np.append(new, len(o)))) if len(o) else o
+        out = np.zeros(len(o), bool)
+        out[self.order] = o != earliest  # the same place of a repeated row is not later
+        return out
+
+
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and length of runs, from where they begin."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
+def _segments(grp, docs, keys, at, starts, words, window):
+    """Windows in order of place, those next to each other in one group as one segment, packed by group."""
+    first, n = _runs(np.concatenate(([True], (grp[1:] != grp[:-1]) | (starts[1:] != starts[:-1] + 1) | (at[1:] != at[:-1] + 1))))
+    order = np.argsort(grp[first], kind="stable")
+    first, n = first[order], n[order]
+    lows, counts = _runs(np.concatenate(([True], grp[first][1:] != grp[first][:-1])))
+    for lo, k in zip(lows.tolist(), counts.tolist(), strict=True):
+        f, m = first[lo : lo + k], n[lo : lo + k]
+        body = b"\n".join(b" ".join(words[a : a + c + window - 1]) for a, c in zip(starts[f].tolist(), m.tolist(), strict=True))
+        packed = len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+        yield (int(grp[f[0]]), 0, docs[f].astype("<i8").tobytes(), keys[f].astype("<i8").tobytes(), np.ones(k, "<u4").tobytes(), at[f].astype("<u4").tobytes(), b"", m.astype("<u4").tobytes(), packed)
+
+
+def _read_segments(table: pa.Table) -> list[list[bytes]]:
+    out = []
+    for kind, raw in zip(table.column("kind").to_pylist(), table.column("words").to_pylist(), strict=True):
+        if not kind:
+            body = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+            out += [s.split(b" ") for s in body.split(b"\n")]
+    return out
 
 
 def _suffixes(window, prefix, groups, shelves, heavy):
     """Round 2: windows whose prefix is shared go to their group (kind 0), later copies on this shelf straight to removal (kind 1)."""
 
+    def local(held):
+        """The tree of some documents of the shelf."""
+        words, size, parts = [], 0, ([], [], [], [], [])
+        for x, w, docs, keys, grp in held:
+            owner = x.owner[w]
+            for p, v in zip(parts, (x.starts[w] + size, docs[owner], keys[owner], x.local(x.starts[w], owner), grp), strict=True):
+                p.append(v)
+            words += x.words
+            size += len(x.words)
+        starts, docs, keys, at, grp = map(np.concatenate, parts)
+        first, n = _runs(np.concatenate(([True], starts[1:] != starts[:-1] + 1)))
+        tree = Subtree([words[a : a + c + window - 1] for a, c in zip(starts[first].tolist(), n.tolist(), strict=True)], n, window)
+        later = tree.later(_ordinal(docs, keys, at))
+        go, stay = np.flatnonzero(later), np.flatnonzero(~later)
+        out = list(_rows(_shelf(docs[go], keys[go], shelves), 1, docs[go], keys[go], at[go])) if len(go) else []
+        return out + list(_segments(grp[stay], docs[stay], keys[stay], at[stay], starts[stay], words, window))
+
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         places = _unpack(known, 1)
         if not len(places["at"]) or not texts.num_rows:
@@ -305,7 +408,7 @@ def _suffixes(window, prefix, groups, shelves, heavy):
         new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))))
         for lo, hi in zip(new, [*new[1:], len(d)], strict=True):
             shared[int(d[lo]), int(k[lo])] = a[lo:hi]
-        found = []
+        held, size, out = [], 0, []
         for docs, keys, body in _chunks(texts):
             some = [i for i, x in enumerate(zip(docs.tolist(), keys.tolist(), strict=True)) if x in shared]
             if not some:
@@ -318,35 +421,33 @@ def _suffixes(window, prefix, groups, shelves, heavy):
             for i, id_ in enumerate(zip(docs.tolist(), keys.tolist(), strict=True)):
                 mark[x.firsts[i] + shared[id_]] = True
             w = np.flatnonzero(mark[x.picks])
-            owner = x.owner[w]
             pre = x.prefixes[x.picks[w]]
             route = np.where(np.isin(pre, big), x.paths[w], pre) if len(big) else pre
-            found.append((x.paths[w], docs[owner], keys[owner], x.local(x.starts[w], owner), (route % np.uint64(groups)).astype(np.int64)))
-        if not found:
-            return _table([])
-        paths, docs, keys, at, grp = (np.concatenate([f[i] for f in found]) for i in range(5))
-        later = _later(paths, _ordinal(docs, keys, at))
-        out = []
-        go, stay = np.flatnonzero(later), np.flatnonzero(~later)
-        if len(go):
-            out += _rows(_shelf(docs[go], keys[go], shelves), 1, docs[go], keys[go], at[go])
-        if len(stay):
-            out += _rows(grp[stay], 0, docs[stay], keys[stay], at[stay], paths[stay])
+            held.append((x, w, docs, keys, (route % np.uint64(groups)).astype(np.int64)))
+            size += len(x.words)
+            if size >= TREE_WORDS:
+                out += local(held)
+                held, size = [], 0
+        if held:
+            out += local(held)
         return _table(out)
 
     return run
 
 
-def _subtrees(shelves):
+def _subtrees(window, shelves):
     """Round 3: leaves below deep internal nodes, but for the earliest of each."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _unpack(table, 0)
         out = []
-        if len(x["hashes"]):
-            i = np.flatnonzero(_later(x["hashes"], _ordinal(x["docs"], x["keys"], x["at"])))
+        if len(x["at"]):
+            n = x["extra"].astype(np.int64)
+            docs, keys = np.repeat(x["docs"], n), np.repeat(x["keys"], n)
+            at = np.repeat(x["at"].astype(np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            i = np.flatnonzero(Subtree(_read_segments(table), n, window).later(_ordinal(docs, keys, at)))
             if len(i):
-                out += _rows(_shelf(x["docs"][i], x["keys"][i], shelves), 1, x["docs"][i], x["keys"][i], x["at"][i])
+                out += _rows(_shelf(docs[i], keys[i], shelves), 1, docs[i], keys[i], at[i])
         return pa.concat_tables([_table(out), table.filter(pc.equal(table.column("kind"), 1)).cast(_PACKED_ARROW)])
 
     return run
@@ -396,7 +497,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     big = spark.sparkContext.broadcast(np.sort(np.concatenate(big)) if big else np.empty(0, np.uint64))
     texts = rows.mapInArrow(_texts(shelves), TEXTS)
     sent = texts.groupBy("shelf").cogroup(known.filter("kind = 1").groupBy("grp")).applyInArrow(_suffixes(window, prefix, groups, shelves, big), PACKED)
-    gone = sent.groupBy("grp").applyInArrow(_subtrees(shelves), PACKED)
+    gone = sent.groupBy("grp").applyInArrow(_subtrees(window, shelves), PACKED)
     return texts.groupBy("shelf").cogroup(gone.groupBy("grp")).applyInArrow(_cut(window), RESULT)
 
 

@@ -220,6 +220,52 @@ def test_dense_regions_are_settled(spark, monkeypatch):
     assert got == brute_groups(docs)
 
 
+def run_substring(docs, window, heavy=4096):
+    """All rounds of one group and one shelf, in this process."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    b = pa.record_batch({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text_key": pa.array([hash(t) for _, t in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())})
+    prefix = min(substring.PREFIX, window)
+    counted = pa.Table.from_batches(list(substring._count_prefixes(window, prefix, 1, 1)(iter([b]))), substring._PACKED_ARROW)
+    known = substring._share_prefixes(heavy, 1)(counted)
+    texts = pa.Table.from_batches(list(substring._texts(1)(iter([b]))))
+    big = SimpleNamespace(value=np.sort(substring._unpack(known, 2)["hashes"]))
+    sent = substring._suffixes(window, prefix, 1, 1, big)(texts, known)
+    cut = substring._cut(window)(texts, substring._subtrees(window, 1)(sent))
+    return Counter(zip(*(cut.column(c).to_pylist() for c in ("doc_id", "n_words", "n_removed", "kept_sha256")), strict=True))
+
+
+@pytest.mark.parametrize("tree", [5, 1 << 20])
+@pytest.mark.parametrize("window", [2, 5, 8, 20])
+def test_substring_trees_decide_by_words(monkeypatch, window, tree):
+    """Every hash the same: all suffixes meet, and only the words tell them apart."""
+    monkeypatch.setattr(substring, "word_hashes", lambda words: np.ones(len(words), np.uint64))
+    monkeypatch.setattr(substring, "TREE_WORDS", tree)
+    rng = np.random.default_rng(window)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 60))))) for i in range(25)]
+    docs += [(100 + i, docs[i][1] + " x " + docs[i + 1][1]) for i in range(5)]
+    assert run_substring(docs, window) == brute_repeats(docs, window)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=3, max_size=30), min_size=1, max_size=6), st.sampled_from([3, 4, 6]))
+def test_nodes_of_a_subtree(segments, window):
+    segments = [s for s in segments if len(s) >= window]
+    n = np.array([len(s) - window + 1 for s in segments], np.int64)
+    t = substring.Subtree(segments, n, window)
+    suffixes = [s[i:] for s, k in zip(segments, n, strict=True) for i in range(k)]
+    most = 2 * (1 << window.bit_length() - 1) - 1
+    expect = set()
+    for a in range(len(suffixes)):
+        for b in range(a):
+            d = next((i for i, (x, y) in enumerate(zip(suffixes[a], suffixes[b])) if x != y), min(len(suffixes[a]), len(suffixes[b])))
+            if (d := min(d, most)) >= window:
+                expect.add((d, frozenset(i for i, s in enumerate(suffixes) if s[:d] == suffixes[a][:d])))
+    assert {(d, frozenset(t.order[lo : hi + 1].tolist())) for d, lo, hi in t.nodes()} == expect
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (9, 8), (3, 3), (7, 1), (2, 1)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(e, "a long, b long")).collect()}
