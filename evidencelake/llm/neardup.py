@@ -1,6 +1,6 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, with links confirmed on full shingle sets.
 
-Method: a document's set is its distinct ``SHINGLE``-word shingles. Documents with
+Method: a document's set is its distinct ``SHINGLE``-word shingles. Rows with
 equal sets are put together first and go on as one node. A node has a signature
 of ``TREES * DEPTH`` MinHash values. Each tree of the forest is one sorted order:
 the signature rotated by the tree's offset. Nodes that share the first ``DEPTH``
@@ -14,7 +14,9 @@ and groups that meet are merged (``graph.components``). After ``ROUNDS`` rounds
 few groups are left of a cluster of thousands of copies. What remains is settled
 exactly, so the window is no cap: in every region that still holds several
 groups, all pairs between groups are looked at, in blocks of ``BLOCK`` nodes
-spread over tasks. A pair is looked at in the first tree where it shares a
+spread over tasks. A group of that size or more has blocks of its own, which
+don't meet each other, so a giant cluster with a few strays in its region is sent
+once. A pair is looked at in the first tree where it shares a
 region; those that agree in ``AGREE`` values or more are compared on full sets
 in place, and only links found are sent on.
 
@@ -23,13 +25,17 @@ fewer than ``AGREE`` values with odds of 1e-5); a link counts if
 ``100 * |intersection| >= 75 * |union|`` of the full sets.
 
 Sorted orders are range-partitioned, which splits regions of any size;
-neighbours across a partition's edge are found from the edge rows.
+neighbours across a partition's edge are found from the edge rows, ``JOINED``
+partitions at a time and then those groups' edges. Joins on a set, a region or a
+group that many rows share leave these rows where they are (``graph.join_keyed``).
 
 Defined results: a text without words (null, empty) has no shingles and links to
 nothing; with fewer words than a shingle the whole sequence is the one shingle;
-rows of the same id are one document, with the text that sorts last; a row without an id links to nothing, its
-component is null and it is kept; an empty table gives no rows; columns other
-than those named are not read.
+rows of one id are one document: their texts are compared each, and all of them
+are in one group; a row without an id links to nothing, its component is null and
+it is kept; texts of any length are read whole; ties between links are tried by
+the smaller nodes first and change no group; an empty table gives no rows;
+columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -42,13 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import discard, materialise, pick, slices
-from evidencelake.llm.graph import components
+from evidencelake.llm.graph import PLAIN, components, join_keyed
 
 SHINGLE, TREES, DEPTH, WINDOW = 5, 20, 3, 4
 VALUES = TREES * DEPTH
 AGREE = 30
 NUMERATOR, DENOMINATOR = 75, 100
-BLOCK, ROUNDS = 1024, 2
+BLOCK, ROUNDS, JOINED = 1024, 2, 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
@@ -112,15 +118,15 @@ def _signatures(batches):
         prints = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(_mix(s + _ODD)))) if len(s) else (0, 0) for s in sets]
         yield pa.RecordBatch.from_arrays(
             [
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                 *(pa.array(np.array([p[i] for p in prints], np.uint64).view(np.int64)) for i in range(2)),
                 pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "fp1", "fp2", "sig"],
+            names=["doc_id", "text_key", "n_shingles", "fp1", "fp2", "sig"],
         )
 
 
-SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary"
+SIGNED = "doc_id long, text_key long, n_shingles long, fp1 long, fp2 long, sig binary"
 KEYS = "grp int, resolved boolean, keys binary, nodes binary, counts binary"
 _KEYS_ARROW = pa.schema([("grp", pa.int32()), ("resolved", pa.bool_()), ("keys", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
 
@@ -188,6 +194,7 @@ def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 NEIGHBOURS = "a long, b long, agree int, part int, place int, ord binary, node long, n long"
+_NEIGHBOURS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), ("part", pa.int32()), ("place", pa.int32()), ("ord", pa.binary()), ("node", pa.int64()), ("n", pa.int64())])
 
 
 def _values(ords: list[bytes]) -> np.ndarray:
@@ -257,21 +264,23 @@ def _neighbours(window):
 
 
 def _stitch(window):
-    """Candidates between the last rows of a partition and the first of later ones; rows in sorted order."""
+    """Candidates between the last rows of a partition and the first of later ones, and the edge rows of all of them together."""
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending"), ("place", "ascending")])
         ords, nodes, n, part = t.column("ord").to_pylist(), t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("part").to_numpy()
         # a short partition gives its rows twice, as head and as tail
         once = [i for i in range(len(ords)) if i == 0 or (part[i], ords[i], nodes[i]) not in {(part[j], ords[j], nodes[j]) for j in range(max(0, i - 2 * window), i)}]
         ords, nodes, n, part = [ords[i] for i in once], nodes[once], n[once], part[once]
+        found: tuple[list, list, list] = ([], [], [])
         for i, j, agree in _pairs(ords, nodes, n, 1, window):
             ok = part[i] != part[j]
-            i, j = i[ok], j[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j])), pa.array(agree[ok], pa.int32())], names=["a", "b", "agree"])
+            for f, x in zip(found, (np.minimum(nodes[i], nodes[j])[ok], np.maximum(nodes[i], nodes[j])[ok], agree[ok]), strict=True):
+                f.extend(x.tolist())
+        k = min(window, len(ords))
+        ends = [*range(k), *range(len(ords) - k, len(ords))]
+        grp = key[0].as_py()
+        return pa.Table.from_batches([_neighbour_rows(*found, part=grp, place=[*range(k), *range(1000, 1000 + k)], ords=[ords[i] for i in ends], nodes=nodes[ends].tolist(), n=n[ends].tolist())]).cast(_NEIGHBOURS_ARROW)
 
     return run
 
@@ -393,19 +402,41 @@ def _confirm(candidates: DataFrame, texts: DataFrame, labels: DataFrame) -> Data
     return labels
 
 
+def _regrouped(df: DataFrame, by: DataFrame, col: str, out: str, rows: int) -> DataFrame:
+    """As ``_label``, for a written table of so many rows in which many may have the same ``col``."""
+    if rows <= PLAIN:
+        return _label(df, by, col, out)
+    every = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return join_keyed(df, _label(every, by, col, out), col, rows)
+
+
 def _joined(labels: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     """Labels after merging the groups that ``links`` (of components) connect."""
     found = components(links, a, b)
     known = labels.select("node").unionByName(found.select("node")).distinct()
-    return materialise(_label(_label(known, labels, "node", "old"), found, "old", "component").select("node", "component"), "labels")
+    old = _label(known, labels, "node", "old")
+    rows = known.count()
+    if rows > PLAIN:
+        old = materialise(old, "old")
+    return materialise(_regrouped(old, found, "old", "component", rows).select("node", "component"), "labels")
 
 
-def _settle(member: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+def _settle(member: DataFrame, rows: int, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels after comparing, in every region with several groups, all pairs between them."""
     m = _label(member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})")), labels, "node", "component")
-    r = m.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    d = m.join(r.select("region", "size"), "region").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    d = d.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    if rows > PLAIN:
+        m = materialise(m, "regions")
+    sizes = m.groupBy("region", "component").agg(F.count(F.lit(1)).alias("c"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    own = F.when(F.col("c") >= BLOCK, F.struct("component", blocks(F.col("c")).alias("blocks")))
+    r = sizes.groupBy("region").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("few"), F.sort_array(F.collect_list(own)).alias("own"))
+    # blocks 0 to shared - 1 are of small groups, then come those of each large one
+    r = r.filter("groups > 1").withColumn("shared", blocks(F.col("few")))
+    first = F.expr("transform(own, (x, i) -> named_struct('component', x.component, 'blocks', x.blocks, 'first', shared + aggregate(slice(own, 1, i), 0L, (s, y) -> s + y.blocks)))")
+    r = r.withColumn("own", first).withColumn("total", F.expr("shared + aggregate(own, 0L, (s, y) -> s + y.blocks)")).drop("groups", "few")
+    d = join_keyed(m, r, "region", rows).withColumn("mine", F.expr("get(filter(own, x -> x.component = component), 0)"))
+    d = d.withColumn("block", F.expr("if(mine is null, pmod(xxhash64(node), shared), mine.first + pmod(xxhash64(node), mine.blocks))"))
+    d = d.withColumn("other", F.explode(F.expr("filter(sequence(0L, total - 1), o -> mine is null or o < mine.first or o >= mine.first + mine.blocks)")))
     side = F.expr("case when block = other then 2 when block < other then 0 else 1 end")
     d = materialise(d.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "ord", "node", "component", "n"), "mixed")
     schema = "region binary, x long, y long, side int, ord binary, node long, component long, n long"
@@ -422,43 +453,75 @@ def _settle(member: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame
     return labels
 
 
+def _link(sets: DataFrame, rows: DataFrame, total: int, window: int) -> DataFrame:
+    """node, component of the sets that are linked."""
+    buckets = max(1, -(-total * TREES * 16 // (16 << 20)))
+    shared = sets.select("node", "sig").mapInArrow(_send_regions(buckets), KEYS).groupBy("grp").applyInArrow(_shared_regions, "node long, trees long")
+    shared = shared.groupBy("node").agg(F.bit_or("trees").alias("trees"))
+    member = sets.select("node", "sig", F.col("n_shingles").alias("n")).join(shared, "node")
+    member = member.withColumn("t", F.explode(F.expr(f"filter(sequence(0, {TREES - 1}), t -> getbit(trees, t) = 1)")))
+    turn = f"concat(unhex(lpad(hex(t), 2, '0')), substring(sig, {2 * DEPTH} * t + 1), substring(sig, 1, {2 * DEPTH} * t))"
+    member = materialise(member.select(F.expr(turn).alias("ord"), "node", "n"), "forest")
+    members = member.count()
+    ordered = member.repartitionByRange(max(1, -(-members // 50_000)), "ord", "node").sortWithinPartitions("ord", "node")
+    near = materialise(ordered.mapInArrow(_neighbours(window), NEIGHBOURS), "neighbours")
+    level = near.filter(F.col("node").isNotNull()).withColumn("grp", F.expr(f"part div {JOINED}").cast("int")).groupBy("grp").applyInArrow(_stitch(window), NEIGHBOURS)
+    level = materialise(level, "edges")  # as many rows as sorted partitions have edges
+    above = level.filter(F.col("node").isNotNull()).withColumn("grp", F.lit(0)).groupBy("grp").applyInArrow(_stitch(window), NEIGHBOURS)  # 2 * window rows for JOINED partitions
+    found = [df.filter(F.col("a").isNotNull()).select("a", "b", "agree") for df in (near, level, above)]
+    pairs = materialise(found[0].unionByName(found[1]).unionByName(found[2]).groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    # texts that may be compared: of candidates, and of regions larger than the window
+    region = member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})"))
+    wide = region.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > window + 1)
+    inside = join_keyed(region.select("region", "node"), wide, "region", members).select("node")
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(inside).distinct()
+    wanted = sets.select("node", F.col("lo").alias("doc_id"), "text_key").join(ids, "node", "left_semi")
+    texts = materialise(rows.join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    labels = rows.sparkSession.createDataFrame([], "node long, component long")
+    labels = _settle(member, members, texts, _confirm(pairs, texts, labels))
+    for df in (member, near, level, pairs, texts):  # labels are written; nothing reads these any more
+        discard(df)
+    return labels
+
+
 def groups(docs: DataFrame, *, id_col="doc_id", text_col="text", window=WINDOW) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row."""
     spark = docs.sparkSession
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     signed = materialise(rows.mapInArrow(_signatures, SIGNED), "signatures")
-    # a document is one node by its id; equal sets are one node by their smallest id
+    # equal sets are one node; a written table, so its numbers stay
     some = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = materialise(some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "sets")
-    total = sets.count()
-    empty = spark.createDataFrame([], "node long, component long")
-    labels = empty
-    if total > 1:
-        buckets = max(1, -(-total * TREES * 16 // (16 << 20)))
-        shared = sets.select("node", "sig").mapInArrow(_send_regions(buckets), KEYS).groupBy("grp").applyInArrow(_shared_regions, "node long, trees long")
-        shared = shared.groupBy("node").agg(F.bit_or("trees").alias("trees"))
-        member = sets.select("node", "sig", F.col("n_shingles").alias("n")).join(shared, "node")
-        member = member.withColumn("t", F.explode(F.expr(f"filter(sequence(0, {TREES - 1}), t -> getbit(trees, t) = 1)")))
-        turn = f"concat(unhex(lpad(hex(t), 2, '0')), substring(sig, {2 * DEPTH} * t + 1), substring(sig, 1, {2 * DEPTH} * t))"
-        member = materialise(member.select(F.expr(turn).alias("ord"), "node", "n"), "forest")
-        parts = max(1, -(-member.count() // 50_000))
-        ordered = member.repartitionByRange(parts, "ord", "node").sortWithinPartitions("ord", "node")
-        near = materialise(ordered.mapInArrow(_neighbours(window), NEIGHBOURS), "neighbours")
-        edges = near.filter(F.col("node").isNotNull()).select("ord", "node", "n", "part", "place")
-        stitched = edges.repartition(1).sortWithinPartitions("part", "place").mapInArrow(_stitch(window), "a long, b long, agree int")
-        pairs = near.filter(F.col("a").isNotNull()).select("a", "b", "agree").unionByName(stitched).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-        pairs = materialise(pairs, "pairs")
-        # texts that may be compared: of candidates, and of regions larger than the window
-        region = member.withColumn("region", F.expr(f"substring(ord, 1, {1 + 2 * DEPTH})"))
-        wide = region.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > window + 1)
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(region.join(wide, "region", "left_semi").select(F.col("node").alias("doc_id"))).distinct()
-        texts = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-        texts = materialise(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
-        labels = _settle(member, texts, _confirm(pairs, texts, labels))
-        for df in (member, near, pairs, texts):  # labels are written; nothing reads these any more
-            discard(df)
-    out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(sets.select("n_shingles", "fp1", "fp2", "node"), ["n_shingles", "fp1", "fp2"], "left")
-    out = _label(out.withColumn("_at", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))), labels, "_at", "component_id")
+    sets = some.groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    sets = materialise(sets.select(F.monotonically_increasing_id().alias("node"), "n_shingles", "fp1", "fp2", F.col("m.doc_id").alias("lo"), F.col("m.text_key").alias("text_key"), "sig", "copies"), "sets")
+    total, count = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    labels = _link(sets, rows, total, window) if total > 1 else spark.createDataFrame([], "node long, component long")
+
+    key = F.struct("n_shingles", "fp1", "fp2").alias("key")
+    node = sets.select(key, "node", F.col("copies").alias("n"))
+    placed = join_keyed(some.select("doc_id", key), node, "key", count).select("doc_id", F.col("key.n_shingles").alias("n_shingles"), "node")
+    bare = signed.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("node"))
+    placed = materialise(placed.unionByName(bare), "placed")
+    # rows of one id are one document, whatever their texts
+    ids = placed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count_if(F.col("node").isNull()).alias("bare"), F.count(F.lit(1)).alias("n"))
+    ids = materialise(ids.filter("first IS NOT NULL AND (first < last OR bare > 0)"), "ids")
+    if repeated := ids.count():
+        same = join_keyed(placed.filter("node IS NOT NULL"), ids.select("doc_id", "first", "n"), "doc_id", count).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+        labels = _joined(labels, _label(_label(same, labels, "a", "ca"), labels, "b", "cb"), "ca", "cb")
+
+    # the smallest id of each group, then of each node, then of each row
+    own = _label(sets.select("node", "lo", "copies"), labels, "node", "component")
+    if total > PLAIN:
+        own = materialise(own, "own")
+    least = own.groupBy("component").agg(F.min("lo").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    node = join_keyed(own, least, "component", total).select("node", "component_id", F.col("copies").alias("n"))
+    linked_ = join_keyed(placed.filter("node IS NOT NULL"), node, "node", count).select("doc_id", "n_shingles", "component_id")
+    bare = placed.filter("node IS NULL").select("doc_id", "n_shingles")
+    if repeated:
+        of = ids.filter("bare > 0").select(F.col("doc_id").alias("_d"), F.col("first").alias("node")).join(node.drop("n"), "node").select("_d", "component_id")
+        bare = bare.join(of, F.col("doc_id") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    else:
+        bare = bare.withColumn("component_id", F.col("doc_id"))
+    out = linked_.unionByName(bare)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 

@@ -220,6 +220,69 @@ def test_dense_regions_are_settled(spark, monkeypatch):
     assert got == brute_groups(docs)
 
 
+@pytest.mark.parametrize("plain", [0, 1_000_000])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, plain):
+    """An id with several texts is one document, and all of its texts count; joins on hot keys too."""
+    monkeypatch.setattr(graph, "PLAIN", plain)
+    monkeypatch.setattr(neardup, "PLAIN", plain)
+    a, z = ([f"{c}{i}" for i in range(60)] for c in "az")
+    near = lambda w, i: " ".join([*w[:i], "new", *w[i + 1 :]])
+    docs = [(1, " ".join(a)), (2, near(a, 3)), (2, " ".join(z)), (3, near(z, 50)), (3, ""), (3, None), (4, None), (None, " ".join(a)), (5, "alone here"), (6, ""), (6, "alone here"), (7, " ".join(a)), (7, " ".join(a))]
+    docs += [(100 + i, " ".join(z)) for i in range(40)] + [(200 + i, near(a, i % 50)) for i in range(40)]
+    got = Counter(tuple(r) for r in neardup.groups(spark.createDataFrame(docs, DOCS)).collect())
+    assert got == brute_groups(docs)
+
+
+def test_a_giant_group_meets_only_others(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    seen = {}
+    write = neardup.materialise
+
+    def spy(df, name, **kw):
+        out = write(df, name, **kw)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", spy)
+    texts = [(i, " ".join(rng.choice(["a", "b", "c"], 30))) for i in range(402)]
+    region = bytes([0]) + b"abcdef"
+    member = spark.createDataFrame([(bytearray(region + rng.bytes(2 * neardup.VALUES - 6)), i, 26) for i, _ in texts], "ord binary, node long, n long")
+    labels = spark.createDataFrame([(i, 0) for i in range(400)], "node long, component long")
+    neardup._settle(member, 402, spark.createDataFrame(texts, "node long, text string"), labels)
+    assert seen["mixed"] == 400 + 2 * (50 + 1)  # each of the group meets the strays' block; the strays meet 50 blocks and their own
+
+
+@pytest.mark.parametrize("joined", [2, 1024])
+def test_neighbours_across_partitions(spark, monkeypatch, joined):
+    """Sorted rows in partitions of any size, some empty: every pair within the window is found."""
+    monkeypatch.setattr(neardup, "JOINED", joined)
+    import pyarrow as pa
+
+    rng = np.random.default_rng(joined)
+    sig = rng.bytes(2 * neardup.VALUES)
+    cuts = np.split(np.arange(60), np.sort(rng.integers(0, 60, 17)))
+    level = [(int(p), k, i) for p, c in enumerate(cuts) for k, i in [*enumerate(c[:4].tolist()), *((1000 + k, i) for k, i in enumerate(c[-4:].tolist()))]]
+    got = set()
+    for p, c in enumerate(cuts):
+        got |= {(int(a), int(b)) for a in c for b in c if a < b <= a + 4}
+
+    def stitched(rows, by):
+        out = []
+        for g in sorted({by(p) for p, *_ in rows}):
+            mine = [r for r in rows if by(r[0]) == g]
+            t = pa.table({"part": pa.array([r[0] for r in mine], pa.int32()), "place": pa.array([r[1] for r in mine], pa.int32()), "ord": [b"\0" + sig] * len(mine), "node": pa.array([r[2] for r in mine], pa.int64()), "n": pa.array([9] * len(mine), pa.int64())})
+            for r in neardup._stitch(4)((pa.scalar(g),), t).to_pylist():
+                if r["a"] is not None:
+                    got.add((r["a"], r["b"]))
+                else:
+                    out.append((r["part"], r["place"], r["node"]))
+        return out
+
+    stitched(stitched(level, lambda p: p // joined), lambda p: 0)
+    assert {(a, b) for a in range(60) for b in range(a + 1, min(60, a + 5))} <= got
+
+
 def run_substring(docs, window, heavy=4096):
     """All rounds of one group and one shelf, in this process."""
     from types import SimpleNamespace
