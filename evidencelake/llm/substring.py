@@ -46,6 +46,7 @@ collision adds a comparison and changes no result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ GROUP_BYTES = 16 << 20
 HEAVY, HEAVY_MOST = 4096, 100_000
 FLUSH = 24 << 20
 #: Words of a shelf's documents that go into one tree before anything is sent.
-TREE_WORDS = 1 << 20
+TREE_WORDS = 1 << 19
 
 _NULL_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -298,21 +299,23 @@ class Subtree:
     the next power of two above ``window``, less one.
     """
 
-    def __init__(self, segments: list[list[bytes]], leaves: np.ndarray, window: int):
-        n = np.array([len(s) for s in segments], np.int64)
+    def __init__(self, segments: Iterable[list[bytes]], leaves: np.ndarray, window: int):
         names: dict[bytes, int] = {}
         number = names.setdefault
-        words = np.fromiter((number(w, len(names)) for s in segments for w in s), np.int64, int(n.sum()))
+        parts = [np.fromiter((number(w, len(names)) for w in s), np.int32, len(s)) for s in segments]  # the words themselves are not held
+        n = np.array([len(p) for p in parts], np.int64)
+        words = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        del parts
         # a mark of its own ends each segment, so nothing is shared beyond it
         first = np.cumsum(n + 1) - (n + 1)
         top = 1 << window.bit_length() - 1
-        ids = np.full(int(n.sum()) + len(n) + 2 * top, len(names) + len(n), np.int64)
+        ids = np.full(int(n.sum()) + len(n) + 2 * top, len(names) + len(n), np.int32)
         ids[np.arange(len(words)) + np.repeat(np.arange(len(n)), n)] = words
         ids[first + n] = len(names) + np.arange(len(n))
-        ranks, k = {1: ids.astype(np.int32)}, 1
+        ranks, k = {1: ids}, 1
         while k < top:
-            r = ranks[k].astype(np.int64)
-            ranks[2 * k] = np.unique(r[:-k] * (r.max() + 1) + r[k:], return_inverse=True)[1].astype(np.int32)
+            r = ranks[k]
+            ranks[2 * k] = np.unique(r[:-k] * (np.int64(r.max()) + 1) + r[k:], return_inverse=True)[1].astype(np.int32)
             k *= 2
         count = np.asarray(leaves, np.int64)
         at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -368,13 +371,12 @@ def _segments(grp, docs, keys, at, starts, words, window):
         yield (int(grp[f[0]]), 0, docs[f].astype("<i8").tobytes(), keys[f].astype("<i8").tobytes(), np.ones(k, "<u4").tobytes(), at[f].astype("<u4").tobytes(), b"", m.astype("<u4").tobytes(), packed)
 
 
-def _read_segments(table: pa.Table) -> list[list[bytes]]:
-    out = []
+def _read_segments(table: pa.Table) -> Iterator[list[bytes]]:
     for kind, raw in zip(table.column("kind").to_pylist(), table.column("words").to_pylist(), strict=True):
         if not kind:
             body = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
-            out += [s.split(b" ") for s in body.split(b"\n")]
-    return out
+            for s in body.split(b"\n"):
+                yield s.split(b" ")
 
 
 def _suffixes(window, prefix, groups, shelves, heavy):
@@ -391,7 +393,7 @@ def _suffixes(window, prefix, groups, shelves, heavy):
             size += len(x.words)
         starts, docs, keys, at, grp = map(np.concatenate, parts)
         first, n = _runs(np.concatenate(([True], starts[1:] != starts[:-1] + 1)))
-        tree = Subtree([words[a : a + c + window - 1] for a, c in zip(starts[first].tolist(), n.tolist(), strict=True)], n, window)
+        tree = Subtree((words[a : a + c + window - 1] for a, c in zip(starts[first].tolist(), n.tolist(), strict=True)), n, window)
         later = tree.later(_ordinal(docs, keys, at))
         go, stay = np.flatnonzero(later), np.flatnonzero(~later)
         out = list(_rows(_shelf(docs[go], keys[go], shelves), 1, docs[go], keys[go], at[go])) if len(go) else []
