@@ -7,25 +7,29 @@ own vocabulary, hashes only the stretches in which every word is known, looks
 the hashes up and compares each hit word by word. Documents are never shuffled.
 
 The broadcast is bounded by ``max_block_bytes`` of benchmark text. A larger
-benchmark is cut into blocks of that size by a hash of the item; every block
-scans all documents and the hits are merged, so nothing is left out.
+benchmark is cut into blocks of that size by a hash of the item; each block's
+index is made, scanned against all documents, written and let go before the next
+one's, and the hits are merged, so nothing is left out and one block is held at a
+time.
 
 Defined results: null text has no words; a document without words is clean; a
-null ``item_id`` still removes words but is neither counted nor listed; repeated
-rows each give a row; an empty benchmark leaves all documents clean; columns
-other than those named are not read.
+null ``item_id`` still removes words but is neither counted nor listed; windows
+that several items share count for each; repeated rows each give a row; texts of
+any length are scanned whole; an empty benchmark leaves all documents clean, and
+no documents give no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import pick, slices
+from evidencelake.llm.common import materialise, pick, slices
 
 WINDOW = 10
 MAX_BLOCK_BYTES = 16 << 20
@@ -134,35 +138,37 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _indexes(items: DataFrame, window: int, max_block_bytes: int) -> list:
-    """Broadcast indexes of the benchmark, each of at most ``max_block_bytes`` of text (or one item)."""
+def _indexes(items: DataFrame, window: int, max_block_bytes: int) -> Iterator[tuple]:
+    """(index, whether it is the only one), broadcast one after the other, of at most ``max_block_bytes`` of text (or one item) each."""
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("string"), "text").filter(F.col("text").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // max_block_bytes))
-    out = []
     for i in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i)
-        out.append(spark.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in part.toLocalIterator()], window)))
-    return out
+        index = spark.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in part.toLocalIterator()], window))
+        yield index, blocks == 1
+        if blocks > 1:
+            index.destroy()  # what it found is written
 
 
 def occurrences(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window=WINDOW, max_block_bytes=MAX_BLOCK_BYTES) -> DataFrame:
     """Per document row: ``n_words``, the merged word ``spans`` that any benchmark window covers, and the ``item_ids``."""
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    scans = [docs.mapInArrow(_scan(index), SCAN) for index in _indexes(pick(items, item_id=item_col, text=item_text), window, max_block_bytes)]
-    blocks = len(scans)
-    if blocks == 1:
-        return scans[0]
-    every = scans[0]
-    for s in scans[1:]:
-        every = every.unionByName(s)
+    every = None
+    for index, alone in _indexes(pick(items, item_id=item_col, text=item_text), window, max_block_bytes):
+        found = docs.mapInArrow(_scan(index), SCAN)
+        if alone:
+            return found
+        # the first block names all rows, the others those they hit
+        found = materialise(found.filter(F.lit(every is None) | (F.size("spans") > 0)).withColumn("named", F.lit(int(every is None))), "hits")
+        every = found if every is None else every.unionByName(found)
     merged = every.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
-    )
+        F.sum("named").cast("int").alias("copies"),
+    )  # a row that is there several times is hit as often
     return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text_key", "n_words", _join_spans("spans").alias("spans"), "item_ids")
 
 
@@ -207,8 +213,10 @@ def remove_documents(docs: DataFrame, items: DataFrame, *, text_col="text", item
     """``docs`` with all its columns, without the rows that hold a benchmark window; one filter for each block of the benchmark."""
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     kept = flat
-    for index in _indexes(pick(items, item_id=item_col, text=item_text), window, max_block_bytes):
+    for index, alone in _indexes(pick(items, item_id=item_col, text=item_text), window, max_block_bytes):
         kept = kept.mapInArrow(_clean_only(index, f"_c{docs.columns.index(text_col)}"), flat.schema)
+        if not alone:
+            kept = materialise(kept, "clean")
     return kept.toDF(*docs.columns)
 
 

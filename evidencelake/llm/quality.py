@@ -17,9 +17,12 @@ is broadcast is therefore bounded by SAMPLE, DIMS and the buckets. Scores are of
 whole texts, in one pass without a shuffle.
 
 Defined results: a text without words (null, empty) has no neighbours and gets
-the sample's share of label 1; without any labelled rows every score is 0.5;
-repeated rows each get a row; null labels or ids teach nothing; a label given
-twice counts once; columns other than those named are not read.
+the sample's share of label 1; without any labelled rows every score is 0.5; of
+labelled rows that are equally near at the last place those of the smaller ids
+vote, whatever the blocks; repeated rows each get a row; null labels or ids teach
+nothing; an id labelled twice counts once, with its smaller label; texts of any
+length are read whole; no documents give no rows; columns other than those named
+are not read.
 """
 
 from __future__ import annotations
@@ -146,9 +149,14 @@ class Model:
             return np.full(len(x), self.prior)
         sims, votes = np.full((len(x), 0), -2, np.float32), np.zeros((len(x), 0))
         for i in range(0, len(self.vectors), block):
-            s = np.concatenate([sims, x @ self.vectors[i : i + block].T], 1)
+            # rounded beyond single precision's noise, so that equal vectors are equally near in blocks of any size
+            s = np.concatenate([sims, (x @ self.vectors[i : i + block].T).round(5)], 1)
             y = np.concatenate([votes, np.broadcast_to(self.labels[i : i + block], (len(x), len(self.labels[i : i + block])))], 1)
             near = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            least = np.take_along_axis(s, near, 1).min(1)
+            tied = (s >= least[:, None]).sum(1) > k
+            near[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+            near.sort(axis=1)  # in the order of the labelled rows, for ties with later blocks
             sims, votes = np.take_along_axis(s, near, 1), np.take_along_axis(y, near, 1)
         w = np.maximum(sims, 0).astype(np.float64) ** SHARPNESS
         total = w.sum(1)

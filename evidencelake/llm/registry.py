@@ -91,17 +91,18 @@ items AS (
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)""",
-    "op4_rotate_chat": """
+    "op4_rotate_chat": r"""
 WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),
+x AS (SELECT *, CASE WHEN turn IS NULL THEN md5(coalesce(role, '') || chr(10) || text) END AS loose FROM t),
 r AS (
   SELECT t.*, perspective, CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS seat
-  FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+  FROM x AS t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
 s AS (SELECT *, CASE WHEN seat = 'user' THEN role END AS name FROM r),
-h AS (SELECT *, '<|im_start|>' || seat || coalesce(' name=' || name, '') || chr(10) AS head FROM s),
-g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+h AS (SELECT *, '<|im_start|>' || seat || coalesce(' name=' || regexp_replace(regexp_replace(name, '[ \t\n\v\f\r]+', ' ', 'g'), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g'), '') || chr(10) AS head FROM s),
+g AS (SELECT *, head || regexp_replace(text, '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') || '<|im_end|>' || chr(10) AS segment FROM h),
 o AS (
-  SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS LAST, text
+  SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, loose, role NULLS LAST, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g)
 SELECT conv_id, perspective, turn, seat, name, segment, start, start + length(segment) AS stop,
   CASE WHEN seat = 'assistant' THEN start + length(head) ELSE start + length(segment) END AS train_start, start + length(segment) AS train_stop

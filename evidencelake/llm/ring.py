@@ -113,9 +113,10 @@ def assign(df: DataFrame, *, id_col="doc_id", text_col="text", shards=SHARDS, vn
     pieces: dict[int, list] = {}
     for a, lo, hi, s, slot in sorted(flows(by_arc, owner, shards)):
         pieces.setdefault(a, []).append((lo, hi, s, slot))
-    # bounded: shards * vnodes * SALTS rows; an arc's pieces go with each
-    table = spark.createDataFrame([(a, s, b, pieces[a]) for a, s, b in bases], "arc int, salt int, base long, pieces array<struct<lo:long,hi:long,shard:int,slot:long>>")
+    # bounded: shards * vnodes * SALTS numbers, and shards * vnodes arcs whose pieces are shards + arcs at most in all
+    bases = spark.createDataFrame(bases, "arc int, salt int, base long")
+    table = spark.createDataFrame(list(pieces.items()), "arc int, pieces array<struct<lo:long,hi:long,shard:int,slot:long>>")
     order = Window.partitionBy("arc", "salt").orderBy("key", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(table), ["arc", "salt"])
+    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(bases), ["arc", "salt"]).join(F.broadcast(table), "arc")
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).withColumn("piece", F.filter("pieces", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))[0])
     return ranked.select("doc_id", "size", "text_crc32", "arc", F.col("piece.shard").alias("shard"), (F.col("piece.slot") + F.col("rank") - F.col("piece.lo")).alias("slot"))
