@@ -10,8 +10,9 @@ opens the nearest, and lists the leaves it reaches in that order. How many
 leaves it visits is calibrated: sampled vectors are used as queries against
 brute force over the sample, and visits are doubled until ``recall`` is met. A
 query goes on past that number until the leaves it has visited hold ``k`` vectors
-besides its own and ``GROUP`` in all, or none are left, so it gets ``k`` rows
-wherever the table has them.
+besides its own and ``LEAST`` in all, or none are left, so it gets ``k`` rows
+wherever the table has them; that holds for tables of every size. ``measure`` gives recall and the share of leaves and vectors visited for
+queries of the table that the tree was not fitted on.
 
 Leaves are dealt to buckets of about ``BUCKET`` vectors; a leaf with more than
 ``GROUP`` vectors is cut into salted units that go to different buckets. A query
@@ -44,6 +45,9 @@ from evidencelake.llm.common import materialise, pick
 SAMPLE, BRANCH, LEAF, RECALL, GROUP = 8192, 16, 64, 0.97, 2048
 BUCKET, QUERIES = 16_384, 20_000
 SALT_BITS = 24
+#: Distinct vectors that a query sees at least.
+LEAST = 2048
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -261,36 +265,55 @@ def _compare(k):
     return run
 
 
+class Fit:
+    """The tree of a table's vectors, the visits calibrated for it and the vectors that take part; None where there are none."""
+
+    def __init__(self, every: DataFrame, tree: Tree, visits: int, sampled: list[int]):
+        self.every, self.tree, self.visits, self.sampled = every, tree, visits, sampled
+
+    @classmethod
+    def of(cls, df: DataFrame, *, k=10, id_col="vec_id", vec_col="embedding", sample=SAMPLE, branch=BRANCH, leaf=LEAF, recall=RECALL) -> Fit | None:
+        every = clean(df, id_col=id_col, vec_col=vec_col)
+        first = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # at most `sample` rows
+        if first.empty:
+            return None
+        width = len(first["v"].iloc[0])
+        x = np.unique(np.stack([v for v in first["v"] if len(v) == width]), axis=0)
+        tree = Tree(x, branch, leaf)
+        return cls(every.filter(F.size("v") == width), tree, calibrate(tree, x, k, recall), first["vec_id"].tolist())
+
+
 def search(df: DataFrame, queries, *, k=10, id_col="vec_id", vec_col="embedding", sample=SAMPLE, branch=BRANCH, leaf=LEAF, recall=RECALL) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``df`` that the condition ``queries`` (on vec_id) marks.
 
     score is the Euclidean distance in double precision on the original vectors.
     """
     spark = df.sparkSession
-    every = clean(df, id_col=id_col, vec_col=vec_col)
-    first = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # at most `sample` rows
-    schema = "query_id long, rank int, vec_id long, score double"
-    if first.empty:
-        return spark.createDataFrame([], schema)
-    width = len(first["v"].iloc[0])
-    every = every.filter(F.size("v") == width)
-    x = np.stack([v for v in first["v"] if len(v) == width])
-    distinct = np.unique(x, axis=0)
-    tree = Tree(distinct, branch, leaf)
-    visits = calibrate(tree, distinct, k, recall)
-    held = spark.sparkContext.broadcast(tree)
+    fit = Fit.of(df, k=k, id_col=id_col, vec_col=vec_col, sample=sample, branch=branch, leaf=leaf, recall=recall)
+    return spark.createDataFrame([], FOUND) if fit is None else nearest(fit, queries, k)
+
 
+def _placed(fit: Fit, k: int) -> tuple[DataFrame, dict[int, int]]:
+    """Distinct vectors with their leaf and smallest ids; and how many stand in each leaf."""
     low = Window.partitionBy("v", "part").orderBy("vec_id")
-    parts = every.distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(low)).filter(F.col("r") <= k + 1)
+    parts = fit.every.distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(low)).filter(F.col("r") <= k + 1)
     vectors = parts.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    held = fit.every.sparkSession.sparkContext.broadcast(fit.tree)
     placed = materialise(vectors.mapInArrow(_index(held), "v array<double>, ids array<long>, leaf long"), "vectors")
-    sizes = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # leaves are bounded by the sample
+    return placed, {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # leaves are bounded by the sample
+
+
+def nearest(fit: Fit, queries, k=10) -> DataFrame:
+    """``search`` with a tree that is there already."""
+    every, spark = fit.every, fit.every.sparkSession
+    held = spark.sparkContext.broadcast(fit.tree)
+    placed, sizes = _placed(fit, k)
     total = sum(sizes.values())
     salts = {leaf: -(-n // GROUP) for leaf, n in sizes.items()}
     buckets = max(1, -(-total // BUCKET))
     asked = every.filter(queries).distinct().select(F.col("vec_id").alias("query_id"), "v")
     blocks = max(1, -(-asked.count() // QUERIES))
-    left = asked.mapInArrow(_visits(held, visits, spark.sparkContext.broadcast(sizes), max(k + 1, GROUP), GROUP, buckets, blocks), "bucket long, block long, query_id long, v array<double>, units array<long>")
+    left = asked.mapInArrow(_visits(held, fit.visits, spark.sparkContext.broadcast(sizes), max(k + 1, LEAST), GROUP, buckets, blocks), "bucket long, block long, query_id long, v array<double>, units array<long>")
     many = F.broadcast(spark.createDataFrame(list(salts.items()), "leaf long, salts long"))
     right = placed.join(many, "leaf").withColumn("salt", F.pmod(F.xxhash64("v"), "salts"))
     right = right.select(F.expr(f"shiftleft(leaf, {SALT_BITS}) + salt").alias("unit"), "v", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
@@ -298,3 +321,29 @@ def search(df: DataFrame, queries, *, k=10, id_col="vec_id", vec_col="embedding"
     near = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(_compare(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def measure(df: DataFrame, *, k=10, queries=200, **how) -> dict[str, float]:
+    """recall against brute force, and the shares of leaves and of distinct vectors visited, for at most ``queries`` vectors not fitted on (any, if there are too few)."""
+    fit = Fit.of(df, k=k, **how)
+    if fit is None:
+        return {"recall": 1.0, "leaves": 0.0, "vectors": 0.0}
+    spark = df.sparkSession
+    seen = F.broadcast(spark.createDataFrame([(i,) for i in fit.sampled], "vec_id long"))
+    others = fit.every.join(seen, "vec_id", "left_anti").orderBy(F.xxhash64("vec_id", F.lit(1))).limit(queries).collect()
+    asked = others or fit.every.orderBy(F.xxhash64("vec_id", F.lit(1))).limit(queries).collect()
+    mine = F.col("vec_id").isin([r.vec_id for r in asked])
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(fit, mine, k).collect()}
+    q = F.broadcast(spark.createDataFrame([(r.vec_id, r.v) for r in asked], "query_id long, q array<double>"))
+    gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    pairs = fit.every.distinct().crossJoin(q).filter("vec_id <> query_id").select("query_id", "vec_id", gap.alias("d"))  # a stated query set against all rows
+    order = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    true = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id").collect()
+    sizes = _placed(fit, k)[1]
+    visits = [fit.tree.visit(np.array(r.v), fit.visits, sizes, max(k + 1, LEAST)) for r in asked]
+    total = sum(sizes.values())
+    return {
+        "recall": sum((r.query_id, r.vec_id) in got for r in true) / max(1, len(true)),
+        "leaves": sum(map(len, visits)) / (len(visits) * fit.tree.leaves),
+        "vectors": sum(sizes.get(leaf, 0) for v in visits for leaf in v) / (len(visits) * total),
+    }
