@@ -30,8 +30,9 @@ def claims(answers: DataFrame) -> DataFrame:
 def check_numbers(answers: DataFrame, evidence: DataFrame, tolerance: float = N.TOLERANCE) -> DataFrame:
     """Each claim with status (supported, derived, context, unsupported) and how: the strongest reason that holds.
 
-    Claims of a question are joined with what its own evidence carries; pairs of
-    values are made from facts of one question only, which are few.
+    Claims of a question are joined with what its own evidence carries, which is
+    what a retriever kept for it: some tens of rows. Differences and shares of
+    its facts are made once for the question, not for each claim.
     """
     c = claims(answers)
     body = F.regexp_replace(F.coalesce("body", F.lit("")), T.ISO_DATE, " ")
@@ -47,25 +48,29 @@ def check_numbers(answers: DataFrame, evidence: DataFrame, tolerance: float = N.
         F.array_distinct(F.flatten(F.collect_list("digits"))).alias("ev_digits"), F.array_distinct(F.flatten(F.collect_list("values"))).alias("ev_values"),
         F.array_distinct(F.flatten(F.collect_list("years"))).alias("ev_years"), F.collect_list("value").alias("facts"),
     )
+    values = F.array_distinct("facts")
+    twice = lambda x: F.size(F.filter("facts", x)) > F.size(F.array_distinct(F.filter("facts", x)))
+    over = lambda f: F.array_compact(F.flatten(F.transform(values, lambda a: F.flatten(F.transform(values, lambda b: f(a, b))))))
+    none, equal = F.array().cast("array<double>"), F.when(twice(lambda x: x.isNotNull()), F.array(F.lit(0.0)))
+    share = over(lambda a, b: F.when((a != b) & (b != 0), F.array(100 * a / F.nullif(b, F.lit(0.0)), 100 * (a - b) / F.nullif(F.abs(b), F.lit(0.0)))).otherwise(none))
+    per = per.withColumn("differences", F.concat(over(lambda a, b: F.when(a != b, F.array(a - b)).otherwise(none)), F.coalesce(equal, none)))
+    per = per.withColumn("shares", F.concat(share, F.coalesce(F.when(twice(lambda x: x != 0), F.array(F.lit(100.0), F.lit(0.0))), none)))
     q = answers.select("qid", N.digit_strings(F.coalesce("question", F.lit(""))).alias("q_digits"))
     j = c.join(per, "qid", "left").join(q, "qid")
-    for col, kind in (("ev_digits", "array<string>"), ("ev_values", "array<double>"), ("ev_years", "array<int>"), ("facts", "array<double>")):
+    for col, kind in (("ev_digits", "array<string>"), ("ev_values", "array<double>"), ("ev_years", "array<int>"), ("differences", "array<double>"), ("shares", "array<double>")):
         j = j.withColumn(col, F.coalesce(col, F.array().cast(kind)))
     year = F.when((F.abs("face") < 1e6), F.col("face").cast("int"))
     is_year = F.col("bare_int") & ~F.col("money") & year.between(*YEARS)
     near = lambda a, b: N.close(a, b, tolerance)
     scaled = F.exists("readings", lambda r: F.exists("ev_values", lambda v: near(r, v)))
-    one = lambda a, b: (
-        F.exists("readings", lambda r: near(r, a - b)) | ((b != 0) & (near(F.col("face"), 100 * a / F.nullif(b, F.lit(0.0))) | near(F.col("face"), 100 * (a - b) / F.nullif(F.abs(b), F.lit(0.0)))))
-    )
-    pairs = F.exists(F.sequence(F.lit(0), F.greatest(F.size("facts") - 1, F.lit(0))), lambda i: F.exists(F.sequence(F.lit(0), F.greatest(F.size("facts") - 1, F.lit(0))), lambda k: (i != k) & F.coalesce(one(F.get("facts", i), F.get("facts", k)), F.lit(False))))
+    pairs = F.exists("readings", lambda r: F.exists("differences", lambda v: near(r, v))) | F.exists("shares", lambda v: near(F.col("face"), v))
     how = (
         F.when(is_year & F.array_contains("ev_years", year), "period")
         .when(is_year & F.array_contains("q_digits", year.cast("string")), "question")
         .when(F.expr("array_contains(ev_digits, digits)"), "digits")
         .when(scaled, "scaled")
         .when(F.expr("array_contains(q_digits, digits)"), "question")
-        .when((F.size("facts") > 1) & pairs, "recomputed")
+        .when(pairs, "recomputed")
         .otherwise("")
     )
     j = j.withColumn("how", how)

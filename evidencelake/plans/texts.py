@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import ids
 from evidencelake.functions import numbers as N
-from evidencelake.operators import bounds, chunking, evals, locate, relations, search
+from evidencelake.operators import chunking, evals, locate, relations, search
 from evidencelake.tables import table
 
 QUERIES: dict = {}
@@ -94,11 +94,8 @@ _GOLD = "gold AS (SELECT item_id AS qid, doc_id, CAST(strpos(d.text, b.text) - 1
 
 
 def _gold(spark, d):
-    """Benchmark passages found in documents: the stated passages against all texts, in blocks."""
-    docs = _docs(spark, d).select("doc_id", "text")
-    at = F.expr("position(query, text)")
-    parts = [docs.join(b, F.expr("contains(text, query)")) for b in bounds.blocks(_questions(spark, d), "qid", 10_000)]
-    return bounds.union(parts).select("qid", "doc_id", (at - 1).cast("int").alias("s"), (at - 1 + F.length("query")).cast("int").alias("e"))
+    """Benchmark passages found in documents."""
+    return locate.passages(_docs(spark, d), _questions(spark, d))
 
 
 @query(f"WITH {_GOLD} SELECT * FROM gold")
@@ -115,8 +112,7 @@ sp AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(s
 
 
 def _bm25(spark, d, k=10):
-    scored = search.bm25(_docs(spark, d), _questions(spark, d), k=1 << 30)
-    return search.top(scored.drop("rank").withColumn("score", F.round("score", 9)), k)
+    return search.bm25(_docs(spark, d), _questions(spark, d), k=k, digits=9)
 
 
 @query(f"WITH {_BM25} SELECT qid, id, rank FROM sp WHERE rank <= 10")
@@ -136,8 +132,7 @@ def _vectors(spark, d):
 
 def _dense(spark, d, k, where=None):
     e, q = _vectors(spark, d)
-    scored = search.dense(e, q, k=1 << 30, where=where)
-    return search.top(scored.drop("rank").withColumn("score", F.round("score", 9)), k)
+    return search.dense(e, q, k=k, where=where, digits=9)
 
 
 @query(f"WITH {_DENSE}, r AS (SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM ds) SELECT * FROM r WHERE rank <= 10")
@@ -157,8 +152,7 @@ rr AS (SELECT qid, id, sparse_rank, dense_rank, CAST(row_number() OVER (PARTITIO
 
 
 def _rrf(spark, d, limit=50):
-    fused = search.rrf({"sparse": _bm25(spark, d, 50), "dense": _dense(spark, d, 50)}, limit=None).drop("rank")
-    return search.top(fused.withColumn("score", F.round("score", 12)), limit)
+    return search.rrf({"sparse": _bm25(spark, d, 50), "dense": _dense(spark, d, 50)}, limit=limit, digits=12)
 
 
 @query(f"WITH {_RRF} SELECT * FROM rr WHERE rank <= 50")
@@ -327,5 +321,4 @@ def heading_candidates(spark, d):
 r AS (SELECT qid, id, fused_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, fused_rank, id) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 5""")
 def cosine_rerank(spark, d):
     e, q = _vectors(spark, d)
-    hits = search.cosine_rerank(_rrf(spark, d), e, q, top_n=1 << 30)
-    return search.top(hits.drop("rank").withColumn("score", F.round("score", 9)).withColumn("_id", F.col("id")).withColumn("id", F.struct("fused_rank", "id")), 5).select("qid", F.col("id.id").alias("id"), F.col("id.fused_rank").alias("fused_rank"), "rank")
+    return search.cosine_rerank(_rrf(spark, d), e, q, top_n=5, digits=9).select("qid", "id", "fused_rank", "rank")
