@@ -226,16 +226,16 @@ def fact_sample_md5(spark, d):
     return evals.md5_sample(f, ["accn", "l_linenumber", "l_partkey", "l_suppkey"], 25, "s").select("h", "accn", "l_linenumber", "l_partkey", "l_suppkey", "tag", "val")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS cik, CAST(NULL AS DATE) AS period_end, CAST(NULL AS DATE) AS period_start, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b WHERE false")
+@query(f"WITH {X.WIDE} SELECT cik, period_end, period_start, revenue AS a, round(revenue * 1.5, 9) AS b FROM wide WHERE revenue IS NOT NULL AND CAST(cik AS INTEGER) % 2 = 1")
 def derivation_crosscheck(spark, d):
-    """The margin of the pivot against one worked out from the metrics' rows: they agree, so nothing is left."""
-    wide = metrics.ratios(_wide(spark, d)).select("cik", "period_end", "period_start", "net_margin")
+    """The pivot's revenue against one worked out from the metrics' rows, which is off for every second company."""
     m = _mfacts(spark, d)
-    one = lambda name: m.filter((F.col("metric") == name) & (F.col("span") == "FY")).groupBy("cik", "period_end").agg(F.max("val").alias(name))
+    mine = m.filter("metric = 'revenue' AND span = 'FY'").groupBy("cik", "period_end").agg(F.max("val").alias("revenue"))
     years = metrics.fiscal_years(m).select("cik", F.col("fiscal_end").alias("period_end"), F.col("fiscal_start").alias("period_start"))
-    again = years.join(one("revenue"), ["cik", "period_end"], "left").join(one("net_income"), ["cik", "period_end"], "left")
-    again = again.withColumn("net_margin", F.col("net_income") / F.nullif(F.col("revenue"), F.lit(0.0)))
-    return evals.numeric_crosscheck(wide, again, ("cik", "period_end", "period_start"), "net_margin")
+    off = F.when(F.col("cik").cast("int") % 2 == 1, 1.5).otherwise(1.0)
+    again = years.join(mine, ["cik", "period_end"], "left").withColumn("revenue", F.col("revenue") * off)
+    got = evals.numeric_crosscheck(_wide(spark, d), again, ("cik", "period_end", "period_start"), "revenue")
+    return got.withColumn("b", F.round("b", 9))
 
 
 @query("""WITH f AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS cik, l_linestatus AS unit, CAST(o_orderdate AS DATE) AS period_start, CAST(l_shipdate AS DATE) AS period_end, l_extendedprice AS val,

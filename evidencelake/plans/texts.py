@@ -55,7 +55,14 @@ def _flat(spark, d):
     return p.select("page_id", F.lit("10-K").alias("form"), "f.text", "f.blocks")
 
 
-@query()
+_BLOCK = "|".join(sorted(chunking.BLOCK_TAGS))
+_FLAT = rf"""a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '\s+', ' ', 'g'), '(?i)</?({_BLOCK})(\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM b),
+fl AS (SELECT page_id, [y FOR y IN [trim(regexp_replace(x, '\s+', ' ', 'g')) FOR x IN string_split(t, chr(10))] IF y <> ''] AS ls FROM c)"""
+
+
+@query(f"WITH {_FLAT} SELECT page_id, array_to_string(ls, chr(10)) || CASE WHEN len(ls) > 0 THEN chr(10) ELSE '' END AS text, CAST(len(ls) AS INTEGER) AS n_blocks FROM fl")
 def html_flatten(spark, d):
     return _flat(spark, d).select("page_id", "text", F.size("blocks").alias("n_blocks"))
 
@@ -66,6 +73,59 @@ def section_outcomes(spark, d):
     return chunking.outcomes(flat, chunking.sections(chunking.headings(chunking.block_rows(flat, "page_id"), "page_id"), "page_id"), "page_id")
 
 
+_ITEMS = (("1", "Business"), ("1A", "Risk Factors"), ("7", "Discussion"), ("8", "Statements"))
+_ITEM_ROWS = ", ".join(f"({i}, '{item}', 'Item {item}. {title}', '{title}')" for i, (item, title) in enumerate(_ITEMS))
+
+
+def _filed(spark, d):
+    """Filed pages made for each document: a contents table before, after or not at all, one or three blocks an item, or no items."""
+    k, n = F.col("doc_id") % 4, (1000 + F.col("doc_id") % 7 * 100).cast("int")
+    p = lambda *x: F.concat(F.lit("<p>"), *x, F.lit("</p>"))
+    body = F.when(k == 2, F.concat(*[p(F.repeat(F.lit(c), F.lit(700))) for c in "abc"])).otherwise(p(F.repeat(F.lit("y"), n)))
+    toc = F.concat(*[p(F.lit(f"Item {i}. {t}")) for i, t in _ITEMS])
+    items = F.concat(*[F.concat(F.lit(f"<h2>Item <b>{i}.</b>\n {t}</h2>"), body) for i, t in _ITEMS])
+    html = F.when(k == 0, F.concat(toc, items)).when(k == 1, F.concat(items, toc)).when(k == 2, items).otherwise(p(F.repeat(F.lit("z"), F.when(F.col("doc_id") % 8 == 3, n * 20).otherwise(n))))
+    return table(spark, d, "documents").select("doc_id", chunking.flatten(html).alias("f")).select("doc_id", F.lit("10-K").alias("form"), "f.text", "f.blocks")
+
+
+_FILED = f"""d AS (SELECT doc_id, doc_id % 4 AS k, 1000 + doc_id % 7 * 100 AS n FROM documents), it AS (SELECT * FROM (VALUES {_ITEM_ROWS}) AS t(i, item, head, title)),
+ln AS (SELECT doc_id, k, item, title, 'toc' AS kind, CASE k WHEN 0 THEN i ELSE 1000 + i END AS ord, length(head) AS len FROM d, it WHERE k IN (0, 1)
+  UNION ALL SELECT doc_id, k, item, title, 'head', 100 + 10 * i, length(head) FROM d, it WHERE k < 3
+  UNION ALL SELECT doc_id, k, item, title, 'body', 100 + 10 * i + b, CASE k WHEN 2 THEN 700 ELSE n END FROM d, it, (SELECT unnest([1, 2, 3]) AS b) WHERE k < 3 AND (k = 2 OR b = 1)
+  UNION ALL SELECT doc_id, k, NULL, NULL, 'body', 0, CASE WHEN doc_id % 8 = 3 THEN n * 20 ELSE n END FROM d WHERE k = 3),
+ls AS (SELECT *, CAST(coalesce(sum(len + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS s, CAST(sum(len + 1) OVER (PARTITION BY doc_id) AS INTEGER) AS total FROM ln),
+sec AS (SELECT doc_id, item, title, s AS start, CAST(s + len AS INTEGER) AS body, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), total) AS "end" FROM ls WHERE kind = 'head')"""
+
+
+def _found(spark, d):
+    flat = _filed(spark, d)
+    return flat, chunking.sections(chunking.headings(chunking.block_rows(flat, "doc_id"), "doc_id"), "doc_id")
+
+
+@query(f"WITH {_FILED} SELECT doc_id, item, title, start, body, \"end\" FROM sec")
+def item_sections(spark, d):
+    """Items of filed pages, without those of contents tables."""
+    return _found(spark, d)[1].select("doc_id", "item", "title", "start", "body", "end")
+
+
+@query(f"""WITH {_FILED} SELECT DISTINCT doc_id, CASE WHEN k < 3 THEN 'split' WHEN total < 20000 THEN 'quarantined' ELSE 'degraded' END AS status, CASE WHEN k = 3 THEN 'no Item heading in the body' END AS reason FROM ls""")
+def item_outcomes(spark, d):
+    flat, found = _found(spark, d)
+    return chunking.outcomes(flat, found, "doc_id").select("doc_id", "status", "reason")
+
+
+@query(f"""WITH {_FILED}, b AS (SELECT ls.*, row_number() OVER (PARTITION BY doc_id, item ORDER BY ord) AS nth FROM ls WHERE kind = 'body'),
+h AS (SELECT doc_id, item, s FROM ls WHERE kind = 'head')
+SELECT doc_id, item, h.s AS char_start, CAST(CASE WHEN k = 1 AND item = '8' THEN total - 1 ELSE b.s + b.len END AS INTEGER) AS char_end FROM h JOIN b USING (doc_id, item) WHERE k < 2 AND nth = 1
+UNION ALL SELECT doc_id, item, h.s, CAST(b.s + b.len AS INTEGER) FROM h JOIN b USING (doc_id, item) WHERE k = 2 AND nth = 2
+UNION ALL SELECT doc_id, item, s, CAST(s + len AS INTEGER) FROM b WHERE k = 2 AND nth = 3
+UNION ALL SELECT doc_id, 'FULL', CAST(x AS INTEGER), CAST(least(x + 1800, total - 1) AS INTEGER) FROM (SELECT doc_id, total, unnest(range(0, total - 1, 1800)) AS x FROM ls WHERE k = 3 AND total >= 20000)""")
+def item_chunks(spark, d):
+    """Chunks of the sections: a heading with its block, three blocks in two chunks, or an unsplit document in pieces of full length."""
+    flat, found = _found(spark, d)
+    return chunking.chunks(flat, chunking.usable_sections(found, chunking.outcomes(flat, found, "doc_id"), "doc_id"), "doc_id").select("doc_id", "item", "char_start", "char_end")
+
+
 def _chunks(spark, d):
     flat = _flat(spark, d)
     whole = flat.select("page_id", F.lit("").alias("part"), F.lit("FULL").alias("item"), F.lit("10-K").alias("title"), F.lit(0).alias("start"), F.length("text").alias("end"))
@@ -77,10 +137,13 @@ def section_chunks(spark, d):
     return _chunks(spark, d)[1]
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS VARCHAR) AS chunk_id WHERE false")
+@query("SELECT doc_id, CAST(s AS INTEGER) AS char_start FROM (SELECT doc_id, unnest(range(0, length(text), 2048)) AS s FROM documents WHERE doc_id % 9 = 0)")
 def chunk_slice_audit(spark, d):
-    flat, cut = _chunks(spark, d)
-    return chunking.audit(cut, flat, "page_id").select("page_id", "chunk_id")
+    """Chunks held against their documents, of which one in nine has changed since."""
+    docs = _docs(spark, d)
+    cut = chunking.naive_chunks(docs, "doc_id")
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.translate("text", "abcdefghijklmnopqrstuvwxyzéèêàäöüßñóíáúçïôâûëî ", "b" * 46 + "_")).otherwise(F.col("text")))
+    return chunking.audit(cut, now, "doc_id").select("doc_id", "char_start")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE NOT (doc_id % 3 = 0 AND lang = 'en')")
@@ -231,7 +294,17 @@ def verify_in_document(spark, d):
     return v.select("doc_id", F.exists("r", lambda x: F.contains(F.col("text"), x)).alias("found"))
 
 
-@query()
+_ABBR = "|".join(sorted(relations.ABBREVIATIONS)).replace(".", "\\.")
+
+
+@query(rf"""WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])([\s"'')\]])', '\1' || chr(1) || '\2', 'g'), '(\n+)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+x AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p),
+f AS (SELECT *, regexp_matches(piece, '(?i)(^|[^a-z.])\.*({_ABBR})\.+$') OR regexp_matches(piece, '(^|[^\p{{L}}])\p{{Lu}}[.!?]$') AS goes_on FROM x),
+g AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth,
+  coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM f),
+s AS (SELECT doc_id, nth, min(low) AS low, string_agg(piece, '' ORDER BY i) AS raw FROM g GROUP BY doc_id, nth),
+t AS (SELECT doc_id, low + length(regexp_extract(raw, '^\s*')) AS a, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') AS sentence FROM s)
+SELECT doc_id, CAST(a AS INTEGER) AS s_start, CAST(a + length(sentence) AS INTEGER) AS s_end, sentence FROM t WHERE sentence <> ''""")
 def sentence_spans(spark, d):
     return relations.sentences(_docs(spark, d), "doc_id").select("doc_id", "s_start", "s_end", "sentence")
 
@@ -312,9 +385,15 @@ def locate_value(spark, d):
     return locate.values(seen, docs).select("accn", "val", "rendering", "n_hits", F.get("hits", F.lit(0))["start"].alias("first_at"))
 
 
-@query()
+@query("""SELECT doc_id, CAST(0 AS INTEGER) AS idx, h AS heading, CAST(0 AS INTEGER) AS gold_start, CAST(least(2400, length(h) + 1 + n) AS INTEGER) AS gold_end
+FROM (SELECT doc_id, 'Overview of operations, part ' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '' END AS h, 400 + doc_id % 4 * 900 AS n FROM documents)
+WHERE n >= 500 AND doc_id % 5 > 0 AND 8 * length(CAST(doc_id AS VARCHAR)) <= length(h)""")
 def heading_candidates(spark, d):
-    return locate.heading_candidates(chunking.line_blocks(_docs(spark, d)), "doc_id")
+    """Headings over passages of several lengths; some end like a sentence, some are mostly figures."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("Overview of operations, part "), k.cast("string"), F.when(k % 5 == 0, ".").otherwise(""))
+    made = table(spark, d, "documents").select("doc_id", F.concat(head, F.lit("\n"), F.repeat(F.lit("w "), (200 + k % 4 * 450).cast("int"))).alias("text"))
+    return locate.heading_candidates(chunking.line_blocks(made), "doc_id")
 
 
 @query(f"""WITH {_RRF}, c AS (SELECT rr.qid, rr.id, rr.rank AS fused_rank, ds.score FROM rr JOIN ds ON ds.qid = rr.qid AND ds.id = rr.id WHERE rr.rank <= 50),

@@ -9,6 +9,10 @@ from evidencelake import plans
 from evidencelake.tables import TABLES
 
 
+#: What these report is not there on tables as small as these.
+MAY_BE_EMPTY = set()
+
+
 @pytest.fixture(scope="module")
 def duck(tiny):
     con = duckdb.connect()
@@ -26,18 +30,23 @@ def test_query_equals_its_sql(spark, duck, tiny, tmp_path, name):
     types = [dict(duck.execute(f"SELECT column_name, column_type FROM (DESCRIBE {t})").fetchall()) for t in "og"]
     assert set(types[0]) == set(types[1])
     cols = ", ".join(f'"{c}"' for c in sorted(types[0]))
+    if name not in MAY_BE_EMPTY:
+        assert duck.execute("SELECT count(*) > 0 FROM g").fetchone()[0]
     for a, b in ("og", "go"):
         assert duck.execute(f"SELECT count(*) FROM (SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b})").fetchone() == (0,)
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))
-def test_query_runs(spark, tiny, name):
-    assert plans.QUERIES[name](spark, tiny).count() >= 0
+def test_query_without_sql_has_rows(spark, tiny, name):
+    """Their operators are held against literal rows and brute force in the other tests; here the query finds something on the tables."""
+    rows = plans.QUERIES[name](spark, tiny).limit(5).collect()
+    assert rows and any(v not in (None, "", 0) for v in rows[0])
 
 
 def test_entry(spark):
     import __spark_entry__ as e
 
+
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
 
