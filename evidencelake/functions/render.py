@@ -37,6 +37,14 @@ def fragment_link(url: str, passage: str, words: int = 6) -> str:
     return f"{url}#:~:text={quote(first, safe='')}" + (f",{quote(last, safe='')}" if len(w) > 2 * words else "")
 
 
+def report(title: str, parts: dict[str, DataFrame], notes: tuple[str, ...] = (), limit: int = 200) -> str:
+    """A page of tables under headings (a corpus, a scorecard, a ladder or a gate), notes last; empty tables say so."""
+    lines = [f"# {title}", ""]
+    for name, df in parts.items():
+        lines += [f"## {name}", "", markdown(df, limit) if not df.isEmpty() else "Nothing to show.\n"]
+    return "\n".join(lines + [f"- {n}" for n in notes]).rstrip("\n") + "\n"
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """A small table as Markdown, in its order."""
     rows = df.limit(limit).collect()

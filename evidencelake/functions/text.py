@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Words without meaning in a concept phrase, and in a question about entities.
 CONCEPT_STOP = ["the", "a", "an", "of", "for", "and", "at", "in", "on", "to", "s"]
+# Fixed value: words a lexical index leaves out.
+ENGLISH_STOP = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 WHOLE_DOCUMENT = "FULL"
 
 CITATION = r"[\[【［]\s*\d{1,3}(?:\s*[,;]\s*\d{1,3})*\s*[\]】］]"
@@ -18,6 +20,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """``words`` without stop words."""
+    return F.filter(words(text), lambda w: ~w.isin(*stop)) if stop else words(text)
+
+
 def normalise(text: Column) -> Column:
     """Lower-case ASCII words joined by one space."""
     return F.array_join(words(text), " ")

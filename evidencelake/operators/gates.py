@@ -48,12 +48,17 @@ def numbers(facts: DataFrame, years: DataFrame, judged: DataFrame, least: int) -
     )
 
 
-def texts(outcomes: DataFrame, chunks: DataFrame, audit: DataFrame, least_split: float) -> DataFrame:
-    """Every document accounted for, few unsplit, ids unique, slices true."""
+def texts(outcomes: DataFrame, chunks: DataFrame, audit: DataFrame, least_split: float, *, indexed: DataFrame, edge_audit: DataFrame) -> DataFrame:
+    """Every document accounted for, few unsplit, ids unique, slices true, every chunk indexed and edges' sentences true.
+
+    indexed: chunk_id of the index's rows; audit and edge_audit: what ``chunking.audit`` found.
+    """
+    lost = chunks.select("chunk_id").join(indexed.select("chunk_id"), "chunk_id", "left_anti").unionByName(indexed.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
     share = outcomes.agg(F.avg((F.col("status") == "split").cast("double")).alias("s"))
     return every(
         check("documents split", share, F.col("s") >= least_split, F.round("s", 4)), none_of("documents without a reason", outcomes.filter("status <> 'split' and reason is null")),
         none_of("chunk ids are unique", chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), none_of("chunks are slices", audit),
+        none_of("the index has the chunks", lost), none_of("edges quote their sentence", edge_audit),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text as T
-from evidencelake.operators import answer, evals, relations, verify
+from evidencelake.operators import answer, evals, verify
 from evidencelake.plans import texts
 from evidencelake.streaming import limits, traces
 from evidencelake.tables import table
@@ -172,20 +172,6 @@ def document_figures(spark, d):
     return verify.claims(a).select("qid", "pos", "text", "face")
 
 
-@query()
-def relation_edges(spark, d):
-    """Sentences made of parts and suppliers through discovery, mentions, cues and edges."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag").distinct()
-    a, b = (F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Zentra", "Morvex", "Quillon", "Bantrel", "Ostrava")]), (F.col(c) % 5).cast("int") + 1), F.lit(s)) for c, s in (("l_suppkey", " Systems Inc"), ("l_partkey", " Holdings Corp")))
-    verb = F.when(F.col("l_returnflag") == "A", " completed its acquisition of ").when(F.col("l_returnflag") == "N", " relies on wafers supplied by ").otherwise(" competes directly with ")
-    text = F.concat(F.lit("During the fiscal period "), a, verb, b, F.lit(" in several markets."))
-    chunks = li.select(F.col("l_orderkey").cast("string").alias("accn"), text.alias("text"), F.lit(0).alias("char_start"))
-    gaz = relations.gazetteer(relations.discover(chunks), spark.createDataFrame([("Zentra Systems Inc", "ZEN")], "name string, ticker string"))
-    sents = relations.with_mentions(relations.sentences(chunks, "accn", "char_start"), gaz)
-    e = relations.edges(sents, "accn", "char_start").drop("s_start", "s_end")
-    return relations.distinct_edges(e).select("source", "target", "kind", "accn", "sentence")
-
-
 # -- scores --------------------------------------------------------------
 
 

