@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import discard, materialise, pick, slices
+from evidencelake.llm.common import discard, lean, materialise, pick, slices
 from evidencelake.llm.graph import PLAIN, components, join_keyed
 
 SHINGLE, TREES, DEPTH, WINDOW = 5, 20, 3, 4
@@ -348,7 +348,7 @@ def _find_suspects(table: pa.Table) -> pa.Table:
     for i, j in _pairs_of(keys, side):
         x, y, _ = _suspects(v, tree, comp, n, i, j)
         mark[x] = mark[y] = True
-    return t.filter(pa.array(mark))
+    return t.filter(pa.array(mark)).drop_columns(["bucket"])
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -443,10 +443,10 @@ def _settle(member: DataFrame, rows: int, texts: DataFrame, labels: DataFrame) -
     buckets = max(1, -(-d.count() // 20_000))
     by = F.pmod(F.xxhash64("region", "x", "y"), F.lit(buckets))
     # the two sides of a pair of blocks share (region, x, y), so they meet in one bucket
-    found = materialise(d.withColumn("bucket", by).groupBy("bucket").applyInArrow(lambda t: _find_suspects(t).drop_columns(["bucket"]), schema), "suspects")
+    found = materialise(d.withColumn("bucket", by).groupBy("bucket").applyInArrow(lean(_find_suspects), schema), "suspects")
     size = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # shingles, about eight bytes of text each
     by = F.pmod(F.xxhash64("region", "x", "y"), F.lit(max(1, -(-size // (2 << 20)))))
-    links = found.join(texts, "node").withColumn("bucket", by).groupBy("bucket").applyInArrow(_compare, "a long, b long")
+    links = found.join(texts, "node").withColumn("bucket", by).groupBy("bucket").applyInArrow(lean(_compare), "a long, b long")
     labels = _joined(labels, links, "a", "b")
     for df in (d, found):
         discard(df)
@@ -456,7 +456,7 @@ def _settle(member: DataFrame, rows: int, texts: DataFrame, labels: DataFrame) -
 def _link(sets: DataFrame, rows: DataFrame, total: int, window: int) -> DataFrame:
     """node, component of the sets that are linked."""
     buckets = max(1, -(-total * TREES * 16 // (16 << 20)))
-    shared = sets.select("node", "sig").mapInArrow(_send_regions(buckets), KEYS).groupBy("grp").applyInArrow(_shared_regions, "node long, trees long")
+    shared = sets.select("node", "sig").mapInArrow(_send_regions(buckets), KEYS).groupBy("grp").applyInArrow(lean(_shared_regions), "node long, trees long")
     shared = shared.groupBy("node").agg(F.bit_or("trees").alias("trees"))
     member = sets.select("node", "sig", F.col("n_shingles").alias("n")).join(shared, "node")
     member = member.withColumn("t", F.explode(F.expr(f"filter(sequence(0, {TREES - 1}), t -> getbit(trees, t) = 1)")))

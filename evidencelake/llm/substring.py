@@ -56,7 +56,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import materialise, pick, slices
+from evidencelake.llm.common import lean, materialise, pick, slices
 
 WINDOW, PREFIX = 20, 6
 GROUP_BYTES = 16 << 20
@@ -494,13 +494,13 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", window=
     groups = shelves = max(1, -(-total // group_bytes))
     heavy = max(heavy, total // 50 // HEAVY_MOST)  # at least 50 bytes of text for each prefix counted
     counted = rows.mapInArrow(_count_prefixes(window, prefix, groups, shelves), PACKED)
-    known = materialise(counted.groupBy("grp").applyInArrow(_share_prefixes(heavy, shelves), PACKED), "prefixes")
+    known = materialise(counted.groupBy("grp").applyInArrow(lean(_share_prefixes(heavy, shelves)), PACKED), "prefixes")
     big = [np.frombuffer(r.hashes, "<u8") for r in known.filter("kind = 2").select("hashes").collect()]
     big = spark.sparkContext.broadcast(np.sort(np.concatenate(big)) if big else np.empty(0, np.uint64))
     texts = rows.mapInArrow(_texts(shelves), TEXTS)
-    sent = texts.groupBy("shelf").cogroup(known.filter("kind = 1").groupBy("grp")).applyInArrow(_suffixes(window, prefix, groups, shelves, big), PACKED)
-    gone = sent.groupBy("grp").applyInArrow(_subtrees(window, shelves), PACKED)
-    return texts.groupBy("shelf").cogroup(gone.groupBy("grp")).applyInArrow(_cut(window), RESULT)
+    sent = texts.groupBy("shelf").cogroup(known.filter("kind = 1").groupBy("grp")).applyInArrow(lean(_suffixes(window, prefix, groups, shelves, big)), PACKED)
+    gone = sent.groupBy("grp").applyInArrow(lean(_subtrees(window, shelves)), PACKED)
+    return texts.groupBy("shelf").cogroup(gone.groupBy("grp")).applyInArrow(lean(_cut(window)), RESULT)
 
 
 def clean(docs: DataFrame, *, id_col="doc_id", text_col="text", chars_col: str | None = None, **how) -> DataFrame:
