@@ -6,7 +6,22 @@
 4. decontaminate: documents that hold ten consecutive words of a benchmark item go.
 5. pack: what is left is packed into sequences of 2048 tokens.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, extra ones with
+whatever names too.
+
+Defined results, stage by stage:
+
+1. A text without words (null, empty) gets the labelled share of good texts as
+   its score, so it stays where that is 0.3 or more; without labels all rows stay.
+2. Rows without an id or without words stay; rows of one id stay or go together;
+   of equal texts the smallest id stays.
+3. Null, empty and short texts stay as they are; what is cut from others leaves
+   their words joined by one space, and ``n_chars`` is that text's length.
+4. Rows without words stay; an empty benchmark removes nothing.
+5. Each row is packed, null and empty texts as the end id alone; a null id stays.
+
+Repeated rows are judged alike by 1 and 4; texts of any length are read whole; an
+empty table passes through every stage as one.
 """
 
 from __future__ import annotations
