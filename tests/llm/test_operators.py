@@ -622,6 +622,14 @@ def test_recurring_lines_of_the_article_stay(spark):
         assert got[i] == got[100 + i] == f"Ingredients\nSalt\nSalt again\n{w}\nThat was all\nSummary\nIn short {i}."
 
 
+def test_repeated_lines_that_share_a_word_go(spark):
+    """Neutral names and no article: a line on every page goes though a word of it is in another line too."""
+    page = "<body><div class=a><p>Shared line of the site</p><div class=b><h1>Title {i}</h1><p>{w}</p></div><p>Another line below</p></div></body>"
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(9)]
+    got = by_id(spark, [(i, "http://a.example/", page.format(i=i, w=w)) for i, w in enumerate(words)])
+    assert got == {i: f"Title {i}\n{w}" for i, w in enumerate(words)}
+
+
 def test_lines_that_move_are_no_template(spark):
     moved = [("Sun and rain", "Wind and snow"), ("Wind and snow", "Sun and rain")]
     rows = [(i, "http://a.example/", "<body><div class=x><p>{}</p><p>{}</p></div><div class=low><p>Contact us</p></div></body>".format(*moved[i % 2]) + f"<!-- {i} -->") for i in range(20)]
