@@ -637,6 +637,78 @@ def test_lines_that_move_are_no_template(spark):
     assert all(got[i] == "\n".join(moved[i % 2]) for i in range(20))
 
 
+def templates_of(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("xxhash64(html) AS page_key", "url", "html")
+    return {r.host: [list(c) for c in r.template] for r in pages.templates(df).collect()}
+
+
+def test_an_article_on_every_page_is_template(spark):
+    """Marks of articles choose among slots: what is marked but the same all over the host holds none."""
+    page = "<body><article><p>Our paper comes twice a week</p><p>Order it here</p></article><article><h2>Ingredients</h2><p>{w}</p><p>That was all</p></article></body>"
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(12)]
+    same = "<body><article><p>The same story here</p></article><p>{w}</p></body>"
+    rows = [(i, "http://a.example/", page.format(w=w)) for i, w in enumerate(words)] + [(100 + i, "http://b.example/", same.format(w=w)) for i, w in enumerate(words)]
+    got = by_id(spark, rows)
+    for i, w in enumerate(words):
+        assert got[i] == f"Ingredients\n{w}\nThat was all"
+        assert got[100 + i] == "The same story here"  # no article of the page has a slot
+
+
+def test_templates_against_brute_force(spark):
+    """Classes are the tokens of one container with equal counts on every page, in order, for hosts with articles too."""
+    item = "<li>Item of the list</li>"
+    page = "<body><div class=a><p>Shared line of the site</p><ul>{items}</ul><{tag}><h2>Title {i}</h2><p>{w}</p></{tag}><p>Another line below</p></div></body>"
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(12)]
+    rows = [(100 * k + i, f"http://{tag}.example/", page.format(items=item * (i % 3 + 1), i=i, w=w, tag=tag)) for k, tag in enumerate(("article", "section")) for i, w in enumerate(words)]
+    got, texts = templates_of(spark, rows), by_id(spark, rows)
+    for k, tag in enumerate(("article", "section")):
+        read = [pages.blocks(html) for i, _, html in rows if i // 100 == k]
+        order = [[t for t, _, _ in pages._in_order(*r)] for r in read]
+        place = {t: p for r in read for t, p, _ in pages._in_order(*r)}
+        vectors = defaultdict(list)
+        for t, p in place.items():
+            counts = tuple(o.count(t) for o in order)
+            if all(counts):
+                vectors[p, counts].append(t)
+        brute = [sorted(ts, key=order[0].index) for ts in vectors.values() if len(ts) > 1]
+        for ts in brute:
+            of = [[t for t in o if t in ts] for o in order]
+            assert all(o == ts * (len(o) // len(ts)) for o in of)
+        assert sorted(got[f"{tag}.example"]) == sorted(brute) and len(brute) > 2
+        template = pages.places(brute)
+        for n, (found, tags) in enumerate(read):
+            at = pages.slots(found, tags, template)
+            assert [b.text for b, s in zip(found, at) if s] == [f"Title {n}", words[n]]
+            for b, s in zip(found, at):
+                if s:  # stands between the two tokens that it is said to
+                    own = next(i for i, t in enumerate(order[n]) if t in pages._text_tokens(b) and t not in template)
+                    assert order[n].index(brute[s[0]][s[1]]) < own < order[n].index(brute[s[0]][s[1] + 1])
+            assert texts[100 * k + n] == f"Title {n}\n{words[n]}"
+
+
+def test_lines_in_other_gaps_are_no_template(spark):
+    """A box before or after the section, among boxes of other numbers, stands in no one gap of the class around."""
+    box, section = "<div class=x><p>Late news today</p></div>", "<section><p>{w}</p></section>"
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(12)]
+    boxes = "<div class=y><p>Box {i} a</p></div>"
+    moving = ["<body>" + (box + section if i % 2 else section + box).format(w=w) + boxes.format(i=i) * (i % 3) + "</body>" for i, w in enumerate(words)]
+    still = ["<body>" + (box + section).format(w=w) + boxes.format(i=i) * (i % 3) + "</body>" for i, w in enumerate(words)]
+    got = by_id(spark, [(100 * k + i, f"http://{k}.example/", p) for k, ps in enumerate((moving, still)) for i, p in enumerate(ps)])
+    for i, w in enumerate(words):
+        rest = [f"Box {i} a"] * (i % 3)
+        assert got[i] == "\n".join((["Late news today", w] if i % 2 else [w, "Late news today"]) + rest)
+        assert got[100 + i] == "\n".join([w, *rest])
+
+
+def test_gaps_of_a_moving_class_say_nothing():
+    row = {"least": 0, "most": 0, "fewest": 1 << 62, "widest": -1, "around": -1}
+    around = [{**row, "token": 1, "class": 0}, {**row, "token": 2, "class": 0, "least": 1, "most": 1}]
+    inner = [{**row, "token": 4, "class": 1, "around": 0, "least": 1, "most": 1, "fewest": 2, "widest": 2}, {**row, "token": 3, "class": 1, "around": 0, "fewest": 1, "widest": 2}]
+    assert pages.valid(around + inner) == [[1, 2], [4]]
+    around[1]["least"] = 0
+    assert pages.valid(around + inner) == [[1], [3, 4]]
+
+
 def test_copies_do_not_cancel(spark):
     """With vectors that cancel, lines on different pages would look alike where each page comes twice."""
     page = "<body><div class=x><p>Story {} of many</p></div><div class=low><p>Contact us</p><p>{}</p></div></body>"
