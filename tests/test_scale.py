@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import lookup
+from evidencelake.operators import evals, lookup
 
 
 def _nodes(plan):
@@ -48,3 +48,17 @@ def test_a_question_does_not_meet_all_periods_of_its_key(spark):
     fil = days.select("accn", F.lit("10-K").alias("form"))
     got, most = ran(lookup.lookup(q, cur, fil, spark.createDataFrame([("us-gaap", "A", "label")], "taxonomy string, tag string, label string")))
     assert {r.qid: r.val for r in got} == want and most < 100_000
+
+
+def test_gold_of_unknown_size_is_not_broadcast(spark):
+    o = spark.range(3000).select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("slice"), F.array(F.col("id") % 50, F.col("id") % 50 + 1).alias("retrieved"), F.array(F.col("id") % 50, F.col("id") % 77, F.col("id") % 50).alias("citations"))
+    gold = o.select("qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(76).cast("long"), F.lit(2).cast("long"))).alias("chunk_id"))
+    df = evals.citation_scores(o, spark.range(60).select(F.col("id").alias("chunk_id")), gold.unionAll(gold))
+    got = {r.slice: (r.citations_made, r.citations_resolvable, r.citations_supported) for r in df.collect()}
+    sent = [p.metrics().get("numOutputRows").get().value() for p in _nodes(df._jdf.queryExecution().executedPlan()) if p.nodeName() == "BroadcastExchange"]
+    assert max(sent, default=0) < 10_000  # gold has 234,000 rows
+    for name in ("even", "odd"):
+        rows = [(i % 50, c) for i in range(3000) if (i % 2 == 0) == (name == "even") for c in (i % 50, i % 77, i % 50)]
+        there = sum(c in (a, a + 1) or c < 60 for a, c in rows) / len(rows)
+        good = sum(c in (a, a + 1) and c % 2 == 0 for a, c in rows) / len(rows)
+        assert got[name][0] == len(rows) and abs(got[name][1] - there) < 1e-12 and abs(got[name][2] - good) < 1e-12
