@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidencelake.functions import text as T
+
 # How a figure is written, and what a scale word multiplies by.
 NUMBER = r"(?<![\w.])([-(]?)\$?\s?(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?|\.\d+)(\)?)"
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
@@ -13,40 +15,49 @@ TOLERANCE = 0.005
 REACH = 14
 
 
+def _plain(whole: Column) -> Column:
+    """A figure's digits and point alone."""
+    return F.translate(whole, "-($), \t\n\x0b\f\r", "")
+
+
 def readings(text: Column) -> Column:
     """Every figure: its text, face value, the values it can stand for, digits, and whether it is money or a bare integer.
 
     A scale word right after a figure pins its value; without one, each of the
     five scales is a reading. What stands between figures comes from splitting
-    by the same pattern, so no positions are needed. The matches are zipped
-    before they are read, so that each pattern runs once on a text.
+    by the same pattern, so no positions are needed. A text is searched once and,
+    if it has figures, split once; their parts are read off the matches.
     """
-    group = lambda i: F.regexp_extract_all(text, F.lit(NUMBER), F.lit(i))
-    gaps = F.split(text, NUMBER, -1)
-    zipped = F.arrays_zip(
-        group(0).alias("whole"), group(1).alias("opener"), group(2).alias("digits"), group(3).alias("closer"), gaps.alias("before"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after")
-    )
-
-    def one(z):
-        raw = F.regexp_replace(z["digits"], ",", "")
-        size = raw.cast("double")
-        negative = (z["opener"] == "-") | ((z["opener"] == "(") & (z["closer"] == ")"))
-        word = F.lower(F.regexp_extract(F.ltrim(F.substring(z["after"], 1, REACH)), SCALE_WORD, 1))
-        scale = F.lit(None).cast("double")
-        for name, x in SCALES.items():
-            scale = F.when(word == name, F.lit(x)).otherwise(scale)
-        bare = F.regexp_replace(raw, "^0+", "")
-        return F.struct(
-            F.trim(z["whole"]).alias("text"), F.when(negative, -size).otherwise(size).alias("face"), scale.alias("scale"), F.when(bare == "", "0").otherwise(bare).alias("digits"),
-            (F.contains(z["whole"], F.lit("$")) | F.contains(F.substring(z["before"], -2, 2), F.lit("$"))).alias("money"), (~F.contains(raw, F.lit("."))).alias("whole"),
-        )
+
+    def one(whole, before, after):
+        def parts(raw, word):
+            size = raw.cast("double")
+            negative = whole.startswith("-") | (whole.startswith("(") & whole.endswith(")"))
+            scale = F.lit(None).cast("double")
+            for name, x in SCALES.items():
+                scale = F.when(word == name, F.lit(x)).otherwise(scale)
+            bare = F.ltrim(raw, F.lit("0"))
+            return F.struct(
+                F.trim(whole).alias("text"), F.when(negative, -size).otherwise(size).alias("face"), scale.alias("scale"), F.when(bare == "", "0").otherwise(bare).alias("digits"),
+                (F.contains(whole, F.lit("$")) | F.contains(F.substring(before, -2, 2), F.lit("$"))).alias("money"), (~F.contains(raw, F.lit("."))).alias("whole"),
+            )
+
+        word = F.lower(F.regexp_extract(F.ltrim(F.substring(after, 1, REACH)), SCALE_WORD, 1))
+        return T.let(_plain(whole), lambda raw: T.let(word, lambda w: parts(raw, w)))
 
     def spread(r):
         every = F.array(r["face"], *[r["face"] * x for x in SCALES.values()])
         named = F.when(r["scale"].isNotNull(), F.array(r["face"] * r["scale"])).otherwise(every)
         return F.struct(r["text"].alias("text"), r["face"].alias("face"), named.alias("readings"), r["digits"].alias("digits"), r["money"].alias("money"), (r["whole"] & r["scale"].isNull()).alias("bare_int"), every.alias("every"))
 
-    return F.transform(F.transform(F.filter(zipped, lambda z: z["whole"].isNotNull()), one), spread)
+    def read(t):
+        def each(found):
+            gaps = F.when(F.size(found) > 0, F.split(t, NUMBER, -1))
+            return T.let(gaps, lambda g: F.transform(F.transform(found, lambda w, i: one(w, F.get(g, i), F.get(g, i + 1))), spread))
+
+        return T.let(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), each)
+
+    return T.let(text, read)
 
 
 def parse_numbers(text: Column) -> Column:
@@ -63,7 +74,9 @@ def numeric_match(answer: Column, gold: Column) -> Column:
 
 
 def digit_strings(text: Column) -> Column:
-    return F.array_distinct(F.transform(readings(text), lambda r: r["digits"]))
+    """The digits of every figure, each once; that takes one search and no reading."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda w: T.let(F.ltrim(_plain(w), F.lit("0")), lambda x: F.when(x == "", "0").otherwise(x))))
 
 
 def renderings(value: Column) -> Column:

@@ -16,6 +16,11 @@ ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
 SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: inside a lambda nothing else spares the repetition."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
@@ -81,9 +86,13 @@ def fact_citation(ticker, form, period_end, tag, accn) -> Column:
 
 def _blank(text: Column, pattern: str, keep: int = 0) -> Column:
     """Each match blanked but for its first ``keep`` characters; lengths stay, so offsets do."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.concat(F.substring(m, 1, keep), F.rpad(F.lit(""), F.length(m) - keep, F.lit(" "))))
-    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
+
+    def blank(t):
+        gaps = F.split(t, pattern, -1)
+        hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.concat(F.substring(m, 1, keep), F.rpad(F.lit(""), F.length(m) - keep, F.lit(" "))))
+        return F.when(t.rlike(pattern), F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(t)
+
+    return let(text, blank)
 
 
 def strip_citations(text: Column) -> Column:

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import evals, lookup
+from evidencelake.operators import evals, lookup, verify
 
 
 def _nodes(plan):
@@ -62,3 +62,14 @@ def test_gold_of_unknown_size_is_not_broadcast(spark):
         there = sum(c in (a, a + 1) or c < 60 for a, c in rows) / len(rows)
         good = sum(c in (a, a + 1) and c % 2 == 0 for a, c in rows) / len(rows)
         assert got[name][0] == len(rows) and abs(got[name][1] - there) < 1e-12 and abs(got[name][2] - good) < 1e-12
+
+
+def test_an_answer_meets_its_evidence_in_one_join(spark):
+    a = spark.createDataFrame([("x:1", 1, "Sales were $5,000 [1]."), ("y:1", 1, "Sales were $6,000 [1] [7]."), ("x:2", 2, "None at all [2].")], "qid string, base int, answer string")
+    a = a.select("*", F.lit("how much?").alias("question"), F.lit("sql").alias("route"), F.lit(False).alias("refused"), F.lit(True).alias("grade_ok"), F.lit(0).alias("repairs"), F.array().cast("array<string>").alias("repair_log"))
+    e = spark.createDataFrame([(1, 1, 5000.0, "k", "Tag", "1997-12-31"), (2, 2, 7.0, "", "", "")], "qid int, idx int, value double, accn string, tag string, period_end string")
+    e = e.select("*", F.lit("fact").alias("kind"), F.lit("").alias("body"), F.lit("USD").alias("unit"), F.lit("T").alias("ticker"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))
+    df = verify.verdicts(a, e, key="base")
+    got = {r.qid: (r.ok, r.made, r.dangling, r.unlocatable, [n.status for n in r.numbers]) for r in df.collect()}
+    assert got == {"x:1": (True, [1], [], [], ["supported"]), "y:1": (False, [1], [7], [], ["unsupported"]), "x:2": (False, [], [], [2], [])}
+    assert sum("Join" in p.nodeName() for p in _nodes(df._jdf.queryExecution().executedPlan())) == 1
