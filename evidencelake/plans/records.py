@@ -393,5 +393,4 @@ def relation_edges(spark, d):
     """Sentences, mentions, cues and edges: what is acquired, supplied by ('by' turns an edge round) or competes (either way round)."""
     chunks = _firms(spark, d)
     gaz = relations.gazetteer(relations.discover(chunks), spark.createDataFrame([("Zentra Systems Inc", "ZEN")], "name string, ticker string"))
-    e = relations.edges(relations.with_mentions(relations.sentences(chunks, "accn", "char_start"), gaz), "accn", "char_start")
-    return relations.distinct_edges(e).select("source", "target", "kind", "accn", "char_start")
+    return relations.distinct_edges(relations.extract(chunks, gaz, "accn", "char_start")).select("source", "target", "kind", "accn", "char_start")

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import evals, lookup, verify
+from evidencelake.operators import evals, lookup, relations, verify
 
 
 def _nodes(plan):
@@ -73,3 +73,17 @@ def test_an_answer_meets_its_evidence_in_one_join(spark):
     got = {r.qid: (r.ok, r.made, r.dangling, r.unlocatable, [n.status for n in r.numbers]) for r in df.collect()}
     assert got == {"x:1": (True, [1], [], [], ["supported"]), "y:1": (False, [1], [7], [], ["unsupported"]), "x:2": (False, [], [], [2], [])}
     assert sum("Join" in p.nodeName() for p in _nodes(df._jdf.queryExecution().executedPlan())) == 1
+
+
+def test_a_text_that_repeats_is_read_once(spark):
+    texts = ["During the year Zentra Corp completed its acquisition of Morvex Holdings Inc in several markets.", "During the year Morvex Corp relies on wafers supplied by Zentra Holdings Inc in several markets."]
+    chunks = spark.range(3000).select(F.col("id").cast("string").alias("accn"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 2).cast("int") + 1).alias("text"), F.lit(0).alias("char_start"))
+    assert {(r.key, r.n_filings) for r in relations.discover(chunks).collect()} == {("zentra", 3000), ("morvex", 3000)}
+    gaz = spark.createDataFrame([("zentra", "zentra", "organization"), ("morvex", "morvex", "organization")], "alias string, node string, kind string")
+    df = relations.extract(chunks, gaz, "accn", "char_start")
+    got = {(r.accn, r.source, r.target, r.kind) for r in df.collect()}
+    assert got == {(str(i), "zentra", "morvex", "supplies" if i % 2 else "acquired") for i in range(3000)}
+    split = [p.metrics().get("numOutputRows").get().value() for p in _nodes(df._jdf.queryExecution().executedPlan()) if p.nodeName() == "Generate"]
+    assert max(split, default=0) < 1000
+    plain = relations.edges(relations.with_mentions(relations.sentences(chunks, "accn", "char_start"), gaz), "accn", "char_start")
+    assert plain.columns == df.columns and plain.exceptAll(df).count() == 0
