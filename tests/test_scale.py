@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from evidencelake.operators import evals, lookup, relations, verify
+from evidencelake.operators.chunking import flatten_html
+from evidencelake.plans import texts
 
 
 def _nodes(plan):
@@ -76,8 +78,8 @@ def test_an_answer_meets_its_evidence_in_one_join(spark):
 
 
 def test_a_text_that_repeats_is_read_once(spark):
-    texts = ["During the year Zentra Corp completed its acquisition of Morvex Holdings Inc in several markets.", "During the year Morvex Corp relies on wafers supplied by Zentra Holdings Inc in several markets."]
-    chunks = spark.range(3000).select(F.col("id").cast("string").alias("accn"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 2).cast("int") + 1).alias("text"), F.lit(0).alias("char_start"))
+    two = ["During the year Zentra Corp completed its acquisition of Morvex Holdings Inc in several markets.", "During the year Morvex Corp relies on wafers supplied by Zentra Holdings Inc in several markets."]
+    chunks = spark.range(3000).select(F.col("id").cast("string").alias("accn"), F.element_at(F.array(*map(F.lit, two)), (F.col("id") % 2).cast("int") + 1).alias("text"), F.lit(0).alias("char_start"))
     assert {(r.key, r.n_filings) for r in relations.discover(chunks).collect()} == {("zentra", 3000), ("morvex", 3000)}
     gaz = spark.createDataFrame([("zentra", "zentra", "organization"), ("morvex", "morvex", "organization")], "alias string, node string, kind string")
     df = relations.extract(chunks, gaz, "accn", "char_start")
@@ -87,3 +89,10 @@ def test_a_text_that_repeats_is_read_once(spark):
     assert max(split, default=0) < 1000
     plain = relations.edges(relations.with_mentions(relations.sentences(chunks, "accn", "char_start"), gaz), "accn", "char_start")
     assert plain.columns == df.columns and plain.exceptAll(df).count() == 0
+
+
+def test_every_chunk_of_a_changed_document_differs(spark, tmp_path):
+    rows = [(0, "12 345.\n"), (9, "b"), (18, "_" * 3000), (27, "Ünï 🙂 b_b"), (28, "kept"), (36, "a" * 2048 + "?")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.char_start) for r in texts.chunk_slice_audit(spark, str(tmp_path)).collect()}
+    assert got == {(i, at) for i, t in rows if i % 9 == 0 for at in range(0, len(t), 2048)}
