@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import evals, lookup, relations, verify
+from evidencelake.operators import chunking, evals, lookup, metrics, relations, verify
 from evidencelake.operators.chunking import flatten_html
 from evidencelake.plans import texts
 
@@ -96,3 +96,33 @@ def test_every_chunk_of_a_changed_document_differs(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.char_start) for r in texts.chunk_slice_audit(spark, str(tmp_path)).collect()}
     assert got == {(i, at) for i, t in rows if i % 9 == 0 for at in range(0, len(t), 2048)}
+
+
+def test_references_without_a_semicolon_stay():
+    assert flatten_html("<p>a &amp; b &copy; &&amp</p>&#65;&bogus;&amp;amp;") == ("a & b © &&amp\nA&bogus;&amp;\n", [(0, 13), (14, 27)])
+
+
+def test_long_blocks_are_not_sorted_with_headings(spark):
+    rows = [(1, "10-Q", 9, i, i, i + 1, b) for i, b in enumerate(["Part", "I. " + "x" * 5000, " Item 1. ", "Statements", "Item 2.", "y" * 5000])]
+    df = chunking.headings(spark.createDataFrame(rows, "doc_id int, form string, n_chars int, idx int, start int, end int, block string"), "doc_id")
+    assert [(r.part, r.item, r.title) for r in df.orderBy("start").collect()] == [("I", "1", "Statements"), ("I", "2", "")]
+    blocks = spark.createDataFrame([], "doc_id int, form string, n_chars int, idx int, start int, end int, block string")
+    plan = chunking.headings(blocks, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(trim(block" in plan
+
+
+def test_edges_that_score_alike_are_cut_before_they_meet_questions(spark):
+    e = spark.range(3000).select(F.concat(F.lit("customer "), F.col("id") % 2).alias("source"), F.lit("supplier 1").alias("target"), F.lit("supplies").alias("kind"), F.lit("C1").alias("ticker"), F.format_string("%05d", "id").alias("accn"), F.lit("1999-01-01").alias("period_end"))
+    q = spark.range(20).select(F.col("id").alias("qid"), F.lit("What does the customer 1 supplies?").alias("question"), F.lit("").alias("ticker"))
+    got, most = ran(relations.search(e, q, order=("accn",)))
+    assert {r.qid: None for r in got}.keys() == set(range(20)) and sorted((r.rank, r.accn) for r in got if r.qid == 3) == [(i + 1, f"{i:05d}") for i in range(5)]
+    assert most < 10_000  # every pair would be 60,000 and more
+
+
+def test_a_phrase_is_resolved_once(spark):
+    con = spark.createDataFrame([("us-gaap", "Assets", "Assets"), ("us-gaap", "AssetsCurrent", "Assets, Current")], "taxonomy string, tag string, label string")
+    q = spark.range(3000).select(F.col("id").alias("qid"), F.when(F.col("id") % 3 == 0, "assets, current").when(F.col("id") % 3 == 1, "zebra").alias("phrase"))
+    df = lookup.resolve_concepts(q, con, metrics.FILINGS)
+    assert {(r.qid, r.tag) for r in df.collect()} == {(i, "AssetsCurrent") for i in range(0, 3000, 3)}
+    made = [p.metrics().get("numOutputRows").get().value() for p in _nodes(df._jdf.queryExecution().executedPlan()) if p.nodeName() in ("Generate", "Window", "Sort") and p.metrics().get("numOutputRows").isDefined()]
+    assert max(made, default=0) < 100
