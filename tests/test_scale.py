@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidencelake.operators import chunking, evals, lookup, metrics, relations, verify
 from evidencelake.operators.chunking import flatten_html
 from evidencelake.plans import texts
+from evidencelake.streaming import traces
 
 
 def _nodes(plan):
@@ -126,3 +127,12 @@ def test_a_phrase_is_resolved_once(spark):
     assert {(r.qid, r.tag) for r in df.collect()} == {(i, "AssetsCurrent") for i in range(0, 3000, 3)}
     made = [p.metrics().get("numOutputRows").get().value() for p in _nodes(df._jdf.queryExecution().executedPlan()) if p.nodeName() in ("Generate", "Window", "Sort") and p.metrics().get("numOutputRows").isDefined()]
     assert max(made, default=0) < 100
+
+
+def test_deep_traces_orphans_and_circles(spark):
+    chain = [(i, i - 1 if i else None, i) for i in range(150)]
+    odd = [(500, 999, 1), (501, 500, 9), (502, 500, 3), (700, 701, 1), (701, 700, 1), (702, 701, 1)]
+    s = spark.createDataFrame(chain + odd, "span_id long, parent_id long, start_ns long")
+    got = {r.span_id: (r.depth, r.path, r.nth) for r in traces.depth(s).collect()}
+    want = {i: (i, "/".join(map(str, range(i + 1))), int(i > 0)) for i in range(150)}
+    assert got == want | {500: (0, "500", 0), 501: (1, "500/501", 2), 502: (1, "500/502", 1)}
