@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import chunking, evals, lookup, metrics, relations, verify
+from evidencelake.functions import vectors
+from evidencelake.operators import chunking, evals, lookup, metrics, relations, search, verify
 from evidencelake.operators.chunking import flatten_html
 from evidencelake.plans import texts
 from evidencelake.streaming import traces
@@ -136,3 +137,21 @@ def test_deep_traces_orphans_and_circles(spark):
     got = {r.span_id: (r.depth, r.path, r.nth) for r in traces.depth(s).collect()}
     want = {i: (i, "/".join(map(str, range(i + 1))), int(i > 0)) for i in range(150)}
     assert got == want | {500: (0, "500", 0), 501: (1, "500/501", 2), 502: (1, "500/502", 1)}
+
+
+def test_vectors_are_ranked_by_products_of_matrices(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(1500)]
+    rows += [(2000 + i, [2.0 * x for x in rows[i % 3][1]]) for i in range(60)]  # ties
+    rows += [(3000, None), (3001, [0.0] * 8), (3002, [1.0]), (3003, [None] * 8), (3004, [float("inf")] * 8), (3005, [])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(0, rows[0][1]), (1, rows[1][1]), (2, [0.0] * 8), (3, None), (4, rows[9][1])], "qid int, vector array<float>")
+    for k in (5, 30, 2000):
+        df = search.dense(docs, q, k=k, digits=9)
+        every = docs.crossJoin(q).select("qid", F.col("vec_id").alias("id"), vectors.cosine(F.col("embedding"), F.col("vector")).alias("score"))
+        want = search.top(every, k, 9)
+        as_text = lambda x: sorted((a.qid, a.id, str(a.score), a.rank) for a in x.select("qid", "id", "score", "rank").collect())
+        assert as_text(df) == as_text(want)
+        assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
