@@ -155,3 +155,8 @@ def test_vectors_are_ranked_by_products_of_matrices(spark):
         as_text = lambda x: sorted((a.qid, a.id, str(a.score), a.rank) for a in x.select("qid", "id", "score", "rank").collect())
         assert as_text(df) == as_text(want)
         assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_searched_for_figures_once(spark):
+    plan = verify.claims(spark.range(1).select(F.col("id").alias("qid"), F.lit("x").alias("answer")).filter("rand() >= 0"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 3 and plan.count("split(") == 3  # citations, dates, figures
